@@ -13,9 +13,9 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabella.functions.scalar import c, dtype, is_date, is_number, join_keys
+from tabella.functions.scalar import c, dtype, is_date, is_number, is_text, join_keys
 from tabella.session import split_count
 
 RANGE, SUBRANGE = "_range", "_subrange"
@@ -23,13 +23,16 @@ CHUNK_ROWS = 200_000
 
 
 def sortable(df: DataFrame, name: str) -> Column:
-    """A double that sorts like the column (a hash for text, which only breaks ties)."""
+    """A double that sorts like the column; text by its first six bytes, which is
+    enough to cut ranges (rows inside a range are sorted by the text itself)."""
     t = dtype(df, name)
     if is_date(t):
         return F.unix_micros(c(name).cast("timestamp")).cast("double")
     if is_number(t):
         return c(name).cast("double")
-    raise TypeError(f"Column '{name}' must be a number or a date to order by.")
+    if is_text(t):
+        return F.conv(F.rpad(F.substring(F.hex(F.encode(c(name), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
+    raise TypeError(f"Column '{name}' cannot be ordered by.")
 
 
 def _edges(df: DataFrame, col: Column, parts: int) -> list[float]:
@@ -191,6 +194,3 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, salts:
         .drop("_salt", "_rn")
     )
 
-
-def value_type_ok(t: T.DataType) -> bool:
-    return is_number(t) or is_date(t)

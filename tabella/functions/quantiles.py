@@ -151,6 +151,35 @@ def group_quantiles(
         return df.groupBy(*[c(k) for k in keys]).agg(
             *[F.expr(f"percentile({q(value)}, {probs[n]!r}D)").alias(n) for n in names]
         )
+    picks = []
+    for i, n in enumerate(names):
+        mine = F.col("_w.i") == i
+        low = F.max(F.when(mine & (F.col("_w.side") == 0), F.col("_v")))
+        high = F.max(F.when(mine & (F.col("_w.side") == 1), F.col("_v")))
+        frac = F.max(F.when(mine, F.col("_w.frac")))
+        picks.append((low + (high - low) * frac).alias(n))
+    ranked = _order_statistics(df, keys, value, [probs[n] for n in names], parts)
+    found = ranked.groupBy(*[c(k) for k in keys]).agg(*picks)
+    # Groups whose values are all missing still get a row.
+    return join_keys(df.select(*[c(k) for k in keys]).distinct(), found, keys) if keys else found
+
+
+def many_quantiles(df: DataFrame, col: str, probs: list[float], parts: int | None = None) -> list[float]:
+    """A long list of exact quantiles of one column."""
+    parts = parts or split_count(df)
+    if parts <= 1:
+        return list(df.agg(F.percentile(c(col).cast("double"), probs)).first()[0] or [])
+    rows = _order_statistics(df, [], col, probs, parts).select("_w.*", "_v").collect()
+    ends = {(r["i"], r["side"]): (r["_v"], r["frac"]) for r in rows}
+    out = []
+    for i in range(len(probs)):
+        (low, frac), (high, _) = ends[i, 0], ends[i, 1]
+        out.append(low + (high - low) * frac)
+    return out
+
+
+def _order_statistics(df: DataFrame, keys: list[str], value: str, probs: list[float], parts: int) -> DataFrame:
+    """Rows (keys, _v, _w = wanted order statistic): two per probability and group."""
     counted = (
         df.where(c(value).isNotNull())
         .groupBy(*[c(k) for k in keys], c(value).cast("double").alias("_v"))
@@ -164,38 +193,22 @@ def group_quantiles(
     sizes = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).withColumn(
         "_total", F.sum("_size").over(by_key)
     )
-    # One row per wanted order statistic: its rank, and which quantile it serves.
-    wanted = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), side.cast("long").alias("rank"), (spot - F.floor(spot)).alias("frac"), F.lit(s).alias("side"))
-            for i, n in enumerate(names)
-            for spot in [(F.col("_total") - 1) * F.lit(float(probs[n]))]
-            for s, side in ((0, F.floor(spot)), (1, F.ceil(spot)))
-        ]
-    )
-    hits = (
-        sizes.withColumn("_w", F.explode(wanted))
-        .where((F.col("_w.rank") >= F.col("_offset")) & (F.col("_w.rank") < F.col("_offset") + F.col("_size")))
-        .groupBy(*[c(k) for k in cols], "_offset")
-        .agg(F.collect_list("_w").alias("_ws"))
+    # One entry per wanted order statistic: its rank, and which quantile it serves.
+    index = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    spot = lambda x: (F.col("_total") - 1) * x.getField("p")
+    entry = lambda x, side, at: F.struct(
+        x.getField("i").alias("i"), at(spot(x)).cast("long").alias("rank"), (spot(x) - F.floor(spot(x))).alias("frac"), F.lit(side).alias("side")
     )
+    wanted = F.concat(F.transform(index, lambda x: entry(x, 0, F.floor)), F.transform(index, lambda x: entry(x, 1, F.ceil)))
+    here = lambda w: (w.getField("rank") >= F.col("_offset")) & (w.getField("rank") < F.col("_offset") + F.col("_size"))
+    hits = sizes.withColumn("_ws", F.filter(wanted, here)).where(F.size("_ws") > 0).select(*[c(k) for k in cols], "_offset", "_ws")
     run = Window.partitionBy(*[c(k) for k in cols]).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
+    return (
         join_keys(counted.drop(SUBRANGE), hits, cols, "inner")
         .withColumn("_upto", F.sum("_n").over(run) + F.col("_offset"))
         .withColumn("_w", F.explode("_ws"))
         .where((F.col("_w.rank") < F.col("_upto")) & (F.col("_w.rank") >= F.col("_upto") - F.col("_n")))
     )
-    picks = []
-    for i, n in enumerate(names):
-        mine = F.col("_w.i") == i
-        low = F.max(F.when(mine & (F.col("_w.side") == 0), F.col("_v")))
-        high = F.max(F.when(mine & (F.col("_w.side") == 1), F.col("_v")))
-        frac = F.max(F.when(mine, F.col("_w.frac")))
-        picks.append((low + (high - low) * frac).alias(n))
-    found = ranked.groupBy(*[c(k) for k in keys]).agg(*picks)
-    # Groups whose values are all missing still get a row.
-    return join_keys(df.select(*[c(k) for k in keys]).distinct(), found, keys) if keys else found
 
 
 def rank_average(df: DataFrame, value: str, out: str, parts: int | None = None) -> DataFrame:
