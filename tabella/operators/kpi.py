@@ -21,7 +21,8 @@ def _moments(df: DataFrame, cols: dict[str, str], amount: str | None = None) ->
 
 
 def customer_table(
-    df: DataFrame, customer: str, date: str, amount: str | None = None, churn_days: int = 90, as_of: str | None = None
+    df: DataFrame, customer: str, date: str, amount: str | None = None, churn_days: int = 90, as_of: str | None = None,
+    digits: int = 2,
 ) -> DataFrame:
     """One row per customer: activity, value, and whether they have churned."""
     d = _moments(df, {"customer": customer, "date": date}, amount)
@@ -41,7 +42,7 @@ def customer_table(
         }
     )
     if amount:
-        t = t.withColumn("avg_amount", F.round(F.col("total_amount") / n, 2))
+        t = t.withColumn("avg_amount", F.round(F.col("total_amount") / n, digits))
     return t.withColumn("churned", F.when(F.col("days_since_last") > churn_days, "Yes").otherwise("No")).withColumnRenamed("customer", customer)
 
 

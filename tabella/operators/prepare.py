@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +18,7 @@ from tabella.functions.scalar import c, number
 from tabella.operators.describe import bin_index, category_counts
 from tabella.operators.profile import ordinal_orders, ordinal_rank, wide_agg
 from tabella.operators.stats import normality_k2
+from tabella.session import fits_one_task, spool
 
 LOW_MEDIUM_HIGH = ["Low", "Medium", "High"]
 QUANTILES = 1000
@@ -109,43 +112,70 @@ def transform_square(df: DataFrame, col: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ power transforms
-def box_cox_value(v: Column, lam: float) -> Column:
-    return F.ln(v) if abs(lam) < 1e-12 else (F.pow(v, F.lit(lam)) - 1) / lam
+def box_cox_value(v: Column, lam: Column) -> Column:
+    return F.when(F.abs(lam) < 1e-12, F.ln(v)).otherwise((F.pow(v, lam) - 1) / lam)
 
 
-def yeo_johnson_value(v: Column, lam: float) -> Column:
-    up = F.log1p(v) if abs(lam) < 1e-12 else (F.pow(v + 1, F.lit(lam)) - 1) / lam
-    other = 2 - lam
-    down = -F.log1p(-v) if abs(other) < 1e-12 else -(F.pow(1 - v, F.lit(other)) - 1) / other
-    return F.when(v >= 0, up).otherwise(down)
+def yeo_johnson_value(v: Column, lam: Column) -> Column:
+    """Box-Cox of 1 + |v|, with the exponent mirrored around 1 below zero."""
+    size, power = F.abs(v) + 1, F.when(v >= 0, lam).otherwise(2 - lam)
+    return F.when(v >= 0, 1).otherwise(-1) * box_cox_value(size, power)
 
 
-def fit_lambda(df: DataFrame, col: str, method: str) -> float:
-    """Maximum-likelihood exponent: a grid per pass in one aggregate, then closer grids."""
-    v = number(df, col)
-    value, weight = (box_cox_value, F.ln(v)) if method == "box-cox" else (yeo_johnson_value, F.signum(v) * F.log1p(F.abs(v)))
-    low, high, points = -2.0, 2.0, 20
-    best = 0.0
-    while True:
-        step = (high - low) / points
-        grid = [low + step * i for i in range(points + 1)]
-        row = df.agg(F.count(v).alias("n"), F.sum(weight).alias("w"), *[F.var_pop(value(v, g)).alias(f"s{i}") for i, g in enumerate(grid)]).first()
-        score = [
-            (g - 1) * row["w"] - row["n"] / 2 * math.log(row[i + 2]) if row[i + 2] and row[i + 2] > 0 else -math.inf
-            for i, g in enumerate(grid)
-        ]
-        top = max(range(len(grid)), key=score.__getitem__)
-        best = grid[top]
-        if top in (0, len(grid) - 1) and abs(best) < 40:
-            low, high = best - 2.0, best + 2.0
-            continue
-        if step < 1e-3 or top in (0, len(grid) - 1):
-            if 0 < top < len(grid) - 1:
-                a, b, e = score[top - 1], score[top], score[top + 1]
-                bend = a - 2 * b + e
-                best += step * 0.5 * (a - e) / bend if bend else 0.0
-            return best
-        low, high = best - step, best + step
+@dataclass
+class _Search:
+    """Where one column's exponent is being looked for."""
+
+    method: str
+    low: float = -2.0
+    high: float = 2.0
+    best: float = 0.0
+    done: bool = False
+
+
+def fit_lambdas(df: DataFrame, methods: dict[str, str], points: int = 16) -> dict[str, float]:
+    """Maximum-likelihood exponents of several columns.
+
+    Each pass pairs every value with a small grid of exponents and sums per
+    (column, exponent) before the shuffle; the next grid lies around the best
+    point, and a parabola through the last three finishes it.
+    """
+    names = list(methods)
+    cells = F.array(*[F.struct(F.lit(i).alias("k"), number(df, x).alias("v")) for i, x in enumerate(names)])
+    flat = spool(df.select(F.inline(cells)).where("v is not null"), "powers", fits_one_task(df))
+    box = F.col("k").isin([i for i, x in enumerate(names) if methods[x] == "box-cox"])
+    value = F.when(box, box_cox_value(F.col("v"), F.col("g"))).otherwise(yeo_johnson_value(F.col("v"), F.col("g")))
+    weight = F.when(box, F.ln("v")).otherwise(F.signum("v") * F.log1p(F.abs("v")))
+    state = {x: _Search(m) for x, m in methods.items()}
+    while open_ := [i for i, x in enumerate(names) if not state[x].done]:
+        grids = {i: [state[names[i]].low + (state[names[i]].high - state[names[i]].low) / points * j for j in range(points + 1)] for i in open_}
+        lists = F.array(*[F.array(*[F.lit(g) for g in grids.get(i, [])]).cast("array<double>") for i in range(len(names))])
+        scored = flat.select("k", "v", F.posexplode(F.get(lists, F.col("k"))).alias("j", "g"))
+        rows = scored.groupBy("k", "j").agg(F.count("*").alias("n"), F.sum(weight).alias("w"), F.var_pop(value).alias("s2")).collect()
+        found = {(r["k"], r["j"]): r for r in rows}
+        for i in open_:
+            score = [
+                (g - 1) * r["w"] - r["n"] / 2 * math.log(r["s2"]) if r and r["s2"] else -math.inf
+                for j, g in enumerate(grids[i]) for r in [found.get((i, j))]
+            ]
+            _closer(state[names[i]], grids[i], score)
+    return {x: s.best for x, s in state.items()}
+
+
+def _closer(s: _Search, grid: list[float], score: list[float]) -> None:
+    top = max(range(len(grid)), key=score.__getitem__)
+    step, s.best = grid[1] - grid[0], grid[top]
+    edge = top in (0, len(grid) - 1)
+    if edge and abs(s.best) < 40:
+        s.low, s.high = s.best - 2.0, s.best + 2.0
+    elif step < 2e-3 or edge:
+        s.done = True
+        if not edge:
+            a, b, e = score[top - 1], score[top], score[top + 1]
+            bend = a - 2 * b + e
+            s.best += step * 0.5 * (a - e) / bend if bend else 0.0
+    else:
+        s.low, s.high = s.best - step, s.best + step
 
 
 @dataclass
@@ -163,42 +193,41 @@ class Gaussian:
 def fit_gaussian(df: DataFrame, cols: list[str], method: str = "yeo-johnson", standardise: bool = True) -> list[Gaussian]:
     """Learn the mapping of each column with more than two values."""
     facts = wide_agg(df, {x: F.struct(F.approx_count_distinct(number(df, x)).alias("k"), F.min(number(df, x)).alias("lo"), F.count(number(df, x)).alias("n")) for x in cols})
-    out = []
+    chosen: dict[str, str] = {}
     for x in cols:
         f = facts[x]
         if f["k"] <= 4 and df.select(number(df, x).alias("v")).dropna().distinct().limit(3).count() <= 2:
             continue
-        how = "yeo-johnson" if method == "box-cox" and f["lo"] <= 0 else method
+        chosen[x] = "yeo-johnson" if method == "box-cox" and f["lo"] <= 0 else method
+    powers = {x: m for x, m in chosen.items() if m != "quantile"}
+    lambdas = fit_lambdas(df, powers) if powers else {}
+    out = []
+    for x, how in chosen.items():
         if how == "quantile":
-            k = min(QUANTILES, f["n"])
+            k = min(QUANTILES, facts[x]["n"])
             probs = [i / (k - 1) for i in range(k)]
             out.append(Gaussian(x, how, quantiles=many_quantiles(df.select(number(df, x).alias("v")), "v", probs)))
-            continue
-        lam = fit_lambda(df, x, how)
-        g = Gaussian(x, how, lam)
-        if standardise:
-            y = _power(df, g)
-            g.mean, g.std = df.agg(F.avg(y), F.stddev_pop(y)).first()
-        out.append(g)
+        else:
+            out.append(Gaussian(x, how, lambdas[x]))
+    if standardise and powers:
+        fitted = [g for g in out if g.method != "quantile"]
+        got = wide_agg(df, {g.column: F.struct(F.avg(_power(df, g)).alias("m"), F.stddev_pop(_power(df, g)).alias("s")) for g in fitted})
+        for g in fitted:
+            g.mean, g.std = got[g.column]["m"], got[g.column]["s"]
     return out
 
 
 def _power(df: DataFrame, g: Gaussian) -> Column:
     v = number(df, g.column)
     if g.method == "box-cox":
-        return F.when(v > 0, box_cox_value(v, g.lam))
-    return yeo_johnson_value(v, g.lam)
+        return F.when(v > 0, box_cox_value(v, F.lit(g.lam)))
+    return yeo_johnson_value(v, F.lit(g.lam))
 
 
 def _normal_scores(edges: list[float]):
     """A vectorized function: value -> place among the quantiles -> normal score."""
-    from statistics import NormalDist
-
-    import numpy as np
-
     knots = np.asarray(edges, dtype=float)
     shares = np.linspace(0, 1, len(knots))
-    inverse = np.frompyfunc(NormalDist().inv_cdf, 1, 1)
 
     @F.pandas_udf("double")
     def scores(v: pd.Series) -> pd.Series:
@@ -207,8 +236,9 @@ def _normal_scores(edges: list[float]):
         p = 0.5 * (np.interp(x, knots, shares) - np.interp(-x, -knots[::-1], -shares[::-1]))
         ok = ~np.isnan(p)
         out = np.full(len(p), np.nan)
-        out[ok] = inverse(np.clip(p[ok], EDGE, 1 - EDGE)).astype(float)
-        return pd.Series(out).where(ok, None).astype("float64")
+        normal = NormalDist()
+        out[ok] = [normal.inv_cdf(x) for x in np.clip(p[ok], EDGE, 1 - EDGE)]
+        return pd.Series(out)
 
     return scores
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tabella.functions.ordering import neighbourhoods
 from tabella.functions.quantiles import group_quantiles
 from tabella.functions.scalar import as_text, c, join_keys, moment, number, period_start, whole_days
-from tabella.session import spool
+from tabella.session import split_count, spool
 
 # Fixed values of the method.
 MAD_SCALE = 1.4826
@@ -39,28 +39,31 @@ def series_key(df: DataFrame, cols: list[str]):
     return F.concat_ws(" | ", *parts)
 
 
-def robust_z(df: DataFrame, series: str, x: str, out: str = "robust_z") -> DataFrame:
+def robust_z(df: DataFrame, series: str, x: str, out: str = "robust_z", parts: int | None = None) -> DataFrame:
     """(x - median) / (1.4826 MAD) per series; null when the MAD is zero."""
-    df = join_keys(df, group_quantiles(df, [series], x, {"_med": 0.5}), [series])
+    parts = parts or split_count(df)
+    df = join_keys(df, group_quantiles(df, [series], x, {"_med": 0.5}, parts), [series])
     df = df.withColumn("_dev", F.abs(c(x) - F.col("_med")))
-    df = join_keys(df, group_quantiles(df, [series], "_dev", {"_mad": 0.5}), [series])
+    df = join_keys(df, group_quantiles(df, [series], "_dev", {"_mad": 0.5}, parts), [series])
     z = (c(x) - F.col("_med")) / F.nullif(F.col("_mad") * MAD_SCALE, F.lit(0.0))
     return df.withColumn(out, z).drop("_med", "_dev", "_mad")
 
 
-def vs_others(df: DataFrame, series: str, period: str, z: str = "robust_z", out: str = "vs_others") -> DataFrame:
+def vs_others(
+    df: DataFrame, series: str, period: str, z: str = "robust_z", out: str = "vs_others", parts: int | None = None
+) -> DataFrame:
     """Score minus the period's median over all series (three series or more)."""
     few = df.select(c(series)).distinct().limit(3).count() < 3
     if few:
         return df.withColumn(out, c(z))
-    common = group_quantiles(df, [period], z, {"_common": 0.5})
+    common = group_quantiles(df, [period], z, {"_common": 0.5}, parts)
     return join_keys(df, common, [period]).withColumn(out, c(z) - F.col("_common")).drop("_common")
 
 
-def _neighbour_columns(df: DataFrame, series: str, date: str, tie: str | None, v: str, step_window: int) -> DataFrame:
+def _neighbour_columns(df: DataFrame, series: str, date: str, tie: str | None, v: str, step_window: int, parts: int) -> DataFrame:
     """Previous value and date, local level, and levels before and after, per row."""
     reach = max(ROLLING, step_window)
-    d = neighbourhoods(df, [series], date, tie, reach, reach)
+    d = neighbourhoods(df, [series], date, tie, reach, reach, parts)
     w = Window.partitionBy(c(series), "_chunk").orderBy("_pos")
     half = lambda a, b: F.expr(f"percentile(`{v}`, 0.5D)").over(w.rowsBetween(a, b))
     local = w.rowsBetween(-ROLLING, ROLLING)
@@ -108,9 +111,14 @@ def standardize(
     present = typed.dropna(subset=["_date", "_value"])
     used = present.where(F.col("_value") > 0) if log else present
     work = used.withColumn("_x", F.log10("_value") if log else F.col("_value")).withColumn("_period", period_start(F.col("_date"), period))
-    work = spool(vs_others(robust_z(spool(work, "readings"), "series", "_x"), "series", "_period"), "scored")
-    work = spool(_neighbour_columns(work, "series", "_date", tie, "vs_others", step_window), "neighbours")
-    noise = group_quantiles(work, ["series"], "_diff", {"_noise": 0.5})
+    # Decided once, on the plain readings: joins only blur the estimate.
+    parts = split_count(work)
+    small = parts <= 1
+    work = spool(work, "readings", small)
+    scored = spool(robust_z(work, "series", "_x", parts=parts), "scored", small)
+    scored = vs_others(scored, "series", "_period", parts=parts)
+    work = spool(_neighbour_columns(scored, "series", "_date", tie, "vs_others", step_window, parts), "neighbours", small)
+    noise = group_quantiles(work, ["series"], "_diff", {"_noise": 0.5}, parts)
     work = join_keys(work, noise, ["series"]).withColumn(
         "_noise", F.nullif(F.col("_noise") * MAD_SCALE / math.sqrt(2), F.lit(0.0))
     )
@@ -118,7 +126,7 @@ def standardize(
     work = work.withColumn("flag_outlier", F.coalesce(F.abs("vs_others_z") > z_flag, F.lit(False)))
     work = work.withColumn("flag_gap_before", F.coalesce(F.col("days_since_previous") > gap_days, F.lit(False)))
 
-    quality = _quality(work, gap_days, step_window, step_min, number(work, weight) if weight else None)
+    quality = _quality(work, gap_days, step_window, step_min, number(work, weight) if weight else None, parts)
     index = _index(work, quality if weight and combine == "weighted mean" else None, combine)
     summary = _summary(typed, work, quality, source, log)
     rows = work.select(
@@ -141,7 +149,7 @@ def step_change(work: DataFrame, step_window: int, step_min: float) -> DataFrame
     return best.select("series", "s.*").where(F.abs("step_size") >= step_min)
 
 
-def _quality(work: DataFrame, gap_days: int, step_window: int, step_min: float, weight) -> DataFrame:
+def _quality(work: DataFrame, gap_days: int, step_window: int, step_min: float, weight, parts: int) -> DataFrame:
     aggs = [
         F.count("*").alias("readings"),
         F.min("_date").alias("first_date"),
@@ -154,7 +162,7 @@ def _quality(work: DataFrame, gap_days: int, step_window: int, step_min: float,
     if weight is not None:
         aggs.append(F.min_by(weight, F.when(weight.isNotNull(), F.col("_pos"))).alias("weight"))
     q = work.groupBy("series").agg(*aggs)
-    q = join_keys(q, group_quantiles(work, ["series"], "_value", {"median_value": 0.5}), ["series"])
+    q = join_keys(q, group_quantiles(work, ["series"], "_value", {"median_value": 0.5}, parts), ["series"])
     q = join_keys(q, step_change(work, step_window, step_min), ["series"])
     note = F.when((F.col("_scored") == 0) & (F.col("readings") > 1), "no spread").otherwise("")
     return q.withColumn("note", note).withColumn("step_size", F.round("step_size", 2)).drop("_scored")

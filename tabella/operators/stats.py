@@ -17,6 +17,7 @@ from tabella.functions.distributions import (
 from tabella.functions.quantiles import rank_average
 from tabella.functions.scalar import c, number
 from tabella.operators.profile import wide_agg
+from tabella.session import spool
 
 STRONG, MODERATE = 0.7, 0.4
 COLLINEAR = 0.8
@@ -32,8 +33,8 @@ def ranked_pair(df: DataFrame, x: str, y: str) -> DataFrame:
 
     Rows are first collapsed to (x, y, count), then each distinct value is ranked.
     """
-    pairs = _numbers(df, [x, y]).toDF("x", "y").dropna().groupBy("x", "y").agg(F.count("*").alias("w"))
-    full = _numbers(df, [x, y]).toDF("x", "y").dropna()
+    full = spool(_numbers(df, [x, y]).toDF("x", "y").dropna(), "pair")
+    pairs = full.groupBy("x", "y").agg(F.count("*").alias("w"))
     return (
         pairs.join(rank_average(full, "x", "rx").select("x", "rx"), "x")
         .join(rank_average(full, "y", "ry").select("y", "ry"), "y")
@@ -80,7 +81,7 @@ def _pairwise(df: DataFrame, cols: list[str], how: str) -> dict[tuple[str, str],
 def correlations(df: DataFrame, cols: list[str], method: str = "pearson") -> dict[tuple[str, str], float | None]:
     if method == "pearson":
         return _pairwise(df, cols, "pearson")
-    flat = _numbers(df, cols)
+    flat = spool(_numbers(df, cols), "numbers")
     gaps = wide_agg(flat, {x: F.count_if(c(x).isNull()) for x in cols}) if cols else {}
     whole = [x for x in cols if not gaps[x]]
     # Columns without gaps are ranked once and share one aggregate; a pair with

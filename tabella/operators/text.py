@@ -81,13 +81,15 @@ def lexicon_sentiment(df: DataFrame, key: str, col: str, lexicon: DataFrame) ->
     shuffled; Spark chooses the join with the lexicon by the lexicon's size.
     """
     text = F.coalesce(c(col).cast("string"), F.lit(""))
+    # Whole-text facts come before the explode, or they would be worked out per word.
     # One empty word keeps texts without any match.
-    one = df.select(
+    whole = df.select(
         c(key),
-        (F.trim(F.regexp_replace(text, r"\s+", " ")) == "").alias("blank"),
-        F.size(F.regexp_extract_all(text, F.lit(r"\S+"), 0)).alias("word_count"),
-        F.explode(F.concat(F.array(F.lit("")), words(text))).alias("word"),
+        (~text.rlike(r"\S")).alias("blank"),
+        F.regexp_count(text, F.lit(r"\S+")).alias("word_count"),
+        F.concat(F.array(F.lit("")), words(text)).alias("words"),
     )
+    one = whole.select(c(key), "blank", "word_count", F.explode("words").alias("word"))
     per = one.join(lexicon.select("word", F.col("valence").cast("double").alias("valence")), "word", "left")
     total = per.groupBy(c(key)).agg(
         F.coalesce(F.sum("valence"), F.lit(0.0)).alias("s"), F.first("blank").alias("blank"), F.first("word_count").alias("word_count")

@@ -199,11 +199,11 @@ CUST_SQL = """cust AS (SELECT o_custkey, min(o_orderdate) AS first_date, max(o_o
   ct AS (SELECT o_custkey, first_date, last_date, transactions, total_amount, datesub('day', first_date, last_date) AS relationship_days,
     round(transactions / greatest(datesub('day', first_date, fin) / 30.44, 1), 3) AS transactions_per_month,
     CASE WHEN transactions > 1 THEN datesub('day', first_date, last_date) / (transactions - 1) END AS avg_days_between, datesub('day', last_date, fin) AS days_since_last,
-    round(total_amount / transactions, 2) AS avg_amount, CASE WHEN datesub('day', last_date, fin) > 180 THEN 'Yes' ELSE 'No' END AS churned FROM cust, fin)"""
+    round(total_amount / transactions, 6) AS avg_amount, CASE WHEN datesub('day', last_date, fin) > 180 THEN 'Yes' ELSE 'No' END AS churned FROM cust, fin)"""
 
 
 def _customers(spark, d):
-    return kpi.customer_table(load(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice", 180)
+    return kpi.customer_table(load(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice", 180, digits=6)
 
 
 @query(
@@ -310,7 +310,7 @@ SHORT_LIST = "[" + ", ".join("'" + w + "'" for w in sorted(set(text.SHORT_STOP))
 
 
 def _tokens_sql(col, pattern="[a-z][a-z'']+", stop=STOP_LIST):
-    return f"list_filter(regexp_extract_all(lower({col}), '{pattern}'), w -> length(w) > 2 AND NOT list_contains({stop}, w))"
+    return f"[w for w in regexp_extract_all(lower({col}), '{pattern}') if length(w) > 2 AND NOT list_contains({stop}, w)]"
 
 
 @query("tokenize", f"SELECT doc_id, array_to_string({_tokens_sql('text')}, ' ') AS tokens FROM documents")
@@ -334,7 +334,7 @@ def _(spark, d):
 
 @query(
     "phrase_counts",
-    f"""WITH t AS (SELECT {_tokens_sql('text')} AS w FROM documents), p AS (SELECT unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS phrase FROM t)
+    f"""WITH t AS (SELECT {_tokens_sql('text')} AS w FROM documents), p AS (SELECT unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS phrase FROM t)
       SELECT * FROM (SELECT phrase, count(*) AS count FROM p GROUP BY 1 ORDER BY count DESC, phrase LIMIT 15) WHERE count > 1""",
 )
 def _(spark, d):
@@ -405,7 +405,7 @@ def _(spark, d):
 
 
 # ------------------------------------------------------------------ standardization
-STD_SQL = """src AS (SELECT o_orderkey, o_orderdate AS dt, o_totalprice AS v, log10(o_totalprice) AS x, o_orderpriority || ' | ' || o_orderstatus AS s, o_orderpriority AS source, date_trunc('week', o_orderdate) AS per, o_custkey AS w FROM orders WHERE o_totalprice > 0),
+STD_TEXT = """src AS (SELECT o_orderkey, o_orderdate AS dt, o_totalprice AS v, log10(o_totalprice) AS x, o_orderpriority || ' | ' || o_orderstatus AS s, o_orderpriority AS source, date_trunc('week', o_orderdate) AS per, o_custkey AS w FROM orders WHERE o_totalprice > 0),
  md AS (SELECT s, median(x) AS med FROM src GROUP BY s), ma AS (SELECT s, any_value(med) AS med, median(abs(x - med)) AS mad FROM src JOIN md USING (s) GROUP BY s),
  z AS (SELECT src.*, (x - med) / nullif(mad * 1.4826, 0) AS rz FROM src JOIN ma USING (s)), pm AS (SELECT per, median(rz) AS common FROM z GROUP BY per),
  vo AS (SELECT z.*, rz - common AS vs FROM z JOIN pm USING (per)),
@@ -415,10 +415,11 @@ STD_SQL = """src AS (SELECT o_orderkey, o_orderdate AS dt, o_totalprice AS v, lo
    FROM vo WINDOW w1 AS (PARTITION BY s ORDER BY dt, o_orderkey)),
  ns AS (SELECT s, nullif(median(d) * 1.4826 / sqrt(2), 0) AS noise FROM nb GROUP BY s),
  wk AS (SELECT nb.*, noise, (vs - loc) / noise AS vz, coalesce(abs((vs - loc) / noise) > 4.5, false) AS flag, coalesce(gap > 7, false) AS gapflag, (aft - bef) / noise AS shift FROM nb JOIN ns USING (s)),
- st0 AS (SELECT s, arg_min(dt, (-abs(shift), pos)) AS step_date, arg_min(shift, (-abs(shift), pos)) AS step_size FROM wk WHERE n >= 14 AND pos > 6 AND pos <= n - 5 AND shift <> 0 GROUP BY s), st AS (SELECT * FROM st0 WHERE abs(step_size) >= 3.5),
+ st0 AS (SELECT s, arg_min(dt, (-abs(shift), pos)) AS step_date, arg_min(shift, (-abs(shift), pos)) AS step_size FROM wk WHERE n >= 14 AND pos > 6 AND pos <= n - 5 AND shift <> 0 GROUP BY s), st AS (SELECT * FROM st0 WHERE abs(step_size) >= {step}),
  qa AS (SELECT s AS series, count(*) AS readings, min(dt) AS first_date, max(dt) AS last_date, count(*) FILTER (flag) AS outliers, count(*) FILTER (gap > 7) AS gaps, coalesce(max(gap), 0) AS longest_gap, median(v) AS median_value, arg_min(w, pos)::DOUBLE AS weight FROM wk GROUP BY s),
  per AS (SELECT per, s, avg(rz) AS z FROM wk WHERE NOT flag AND rz IS NOT NULL GROUP BY 1, 2),
  idx AS (SELECT per, sum(z * weight) / sum(weight) AS idx, median(z) AS med, count(*) AS sources FROM per JOIN qa ON series = s GROUP BY per)"""
+STD_SQL = STD_TEXT.replace("{step}", "3.5")
 
 
 def _standard(spark, d, **kw):
@@ -453,9 +454,9 @@ def _(spark, d):
     return _standard(spark, d).rows.select("o_orderkey", "days_since_previous", "flag_gap_before")
 
 
-@query("step_change", f"WITH {STD_SQL} SELECT s AS series, strftime(step_date, '%Y-%m-%d') AS step_date, round(step_size, 2) AS step_size FROM st")
+@query("step_change", f"WITH {STD_TEXT.replace('{step}', '2.0')} SELECT s AS series, strftime(step_date, '%Y-%m-%d') AS step_date, round(step_size, 2) AS step_size FROM st")
 def _(spark, d):
-    return _standard(spark, d).quality.where("step_date is not null").select("series", day_text("step_date"), "step_size")
+    return _standard(spark, d, step_min=2.0).quality.where("step_date is not null").select("series", day_text("step_date"), "step_size")
 
 
 @query(
@@ -508,17 +509,18 @@ def _(spark, d):
 
 
 # Mean per day and part: most days are missing, so values are interpolated.
-SPARSE_SQL = """got AS (SELECT l_partkey AS k, date_trunc('month', l_shipdate) AS p, avg(l_extendedprice) AS a FROM lineitem GROUP BY 1, 2),
+SPARSE_SQL = """got AS (SELECT l_partkey AS k, date_trunc('month', l_shipdate) AS p, avg(sqrt(l_extendedprice)) AS a FROM lineitem GROUP BY 1, 2),
  ends AS (SELECT k, min(p) AS lo, max(p) AS hi FROM got GROUP BY 1), spine AS (SELECT k, unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS p FROM ends),
  f AS (SELECT spine.k, spine.p, row_number() OVER (PARTITION BY spine.k ORDER BY spine.p) - 1 AS t, a, count(*) OVER (PARTITION BY spine.k) AS n FROM spine LEFT JOIN got ON got.k = spine.k AND got.p = spine.p),
  g AS (SELECT *, last_value(CASE WHEN a IS NOT NULL THEN t END IGNORE NULLS) OVER pa AS t0, last_value(a IGNORE NULLS) OVER pa AS a0, first_value(CASE WHEN a IS NOT NULL THEN t END IGNORE NULLS) OVER fu AS t1, first_value(a IGNORE NULLS) OVER fu AS a1
    FROM f WINDOW pa AS (PARTITION BY k ORDER BY t ROWS UNBOUNDED PRECEDING), fu AS (PARTITION BY k ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 
-@query("regular_series_mean", f"WITH {SPARSE_SQL} SELECT k AS l_partkey, strftime(p, '%Y-%m-%d') AS period, t, round(CASE WHEN a IS NOT NULL THEN a ELSE a0 + (a1 - a0) * (t - t0) / (t1 - t0) END, 4) AS value FROM g WHERE n >= 12")
+@query("regular_series_mean", f"WITH {SPARSE_SQL} SELECT k AS l_partkey, strftime(p, '%Y-%m-%d') AS period, t, round(CASE WHEN a IS NOT NULL THEN a ELSE a0 + (a1 - a0) * (t - t0) / (t1 - t0) END, 5) AS value FROM g WHERE n >= 12")
 def _(spark, d):
-    out = forecast.regular_series(load(spark, d, "lineitem"), "l_shipdate", "l_extendedprice", "Month", "mean", ["l_partkey"])
-    return _round(out, 4, "value").withColumn("period", F.date_format("period", "yyyy-MM-dd"))
+    df = load(spark, d, "lineitem").withColumn("root", F.sqrt("l_extendedprice"))
+    out = forecast.regular_series(df, "l_shipdate", "root", "Month", "mean", ["l_partkey"])
+    return _round(out, 5, "value").withColumn("period", F.date_format("period", "yyyy-MM-dd"))
 
 
 @query(

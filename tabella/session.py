@@ -94,13 +94,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/tabella/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def spool(df: DataFrame, label: str = "stage") -> DataFrame:
+def spool(df: DataFrame, label: str = "stage", small: bool | None = None) -> DataFrame:
     """Write a stage that several passes read, and read it back.
 
     The written table survives lost executors, cuts the lineage, and lets later
     passes prune columns. A table small enough for one task is only cached.
+    ``small`` passes on a decision made before joins blurred the estimate.
     """
-    if fits_one_task(df):
+    if fits_one_task(df) if small is None else small:
         return df.persist()
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
