@@ -186,7 +186,7 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, salts:
     salted = Window.partitionBy(*groups, F.col("_salt")).orderBy(*order)
     whole = Window.partitionBy(*groups).orderBy(*order)
     return (
-        df.withColumn("_salt", F.pmod(F.xxhash64(*[c(x) for x in df.columns]), F.lit(salts)))
+        df.withColumn("_salt", F.floor(F.rand(7) * salts))
         .withColumn("_rn", F.row_number().over(salted))
         .where(F.col("_rn") <= n)
         .withColumn("_rn", F.row_number().over(whole))

@@ -34,4 +34,4 @@ def load_all() -> None:
         importlib.import_module(f"tabella.plans.{module}")
 
 
-MODULES = ["tables", "flow", "numbers", "business"]
+MODULES = ["tables", "flow", "numbers", "business", "learning"]
