@@ -64,7 +64,7 @@ def plain_number(col: Column) -> Column:
 
 def money_number(col: Column) -> Column:
     """Text as a double after removing dollar signs, commas and percent signs."""
-    return plain_number(F.regexp_replace(col, r"[$,%]", ""))
+    return plain_number(F.translate(col, "$,%", ""))
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -95,6 +95,18 @@ def period_label(col: Column, period: str) -> Column:
     return start + F.expr("INTERVAL 6 DAYS") if period == "Week" else start
 
 
+def seen_words(col: Column, words: list[str]) -> Column:
+    """Which of up to 62 words a column holds, as one integer aggregate (see ``in_mask``)."""
+    code = F.lit(None).cast("long")
+    for i, w in enumerate(words):
+        code = F.when(col == w, F.lit(1 << i).cast("long")).otherwise(code)
+    return F.bit_or(code)
+
+
+def in_mask(mask: int | None, words: list[str]) -> set[str]:
+    return {w for i, w in enumerate(words) if (mask or 0) >> i & 1}
+
+
 def whole_days(start: Column, end: Column) -> Column:
     """Completed 24-hour days from start to end, rounded toward minus infinity."""
     return F.floor((F.unix_micros(end) - F.unix_micros(start)) / F.lit(86400 * 10**6)).cast("long")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tabella.functions.ordering import carry
 from tabella.functions.quantiles import column_quantiles
 from tabella.functions.scalar import (
-    NA_MARKERS, any_of, c, dtype, is_date, is_number, is_text, is_whole, money_number, moment,
+    NA_MARKERS, any_of, c, dtype, in_mask, is_date, is_number, is_text, is_whole, money_number, moment, seen_words,
 )
 from tabella.operators.profile import is_code_name, profile_columns, wide_agg
 from tabella.operators.wrangle import NEAR_EMPTY, converted
@@ -62,8 +62,8 @@ def _text_exprs(df: DataFrame, skip: set[str] = frozenset()) -> dict[str, Column
         exprs[f"num:{x}"] = F.lit(0) if is_code_name(x) else F.count(money_number(c(x)))
         exprs[f"yn:{x}"] = F.struct(
             F.count_if(~flag).alias("other"),
-            F.collect_set(F.when(flag, low)).alias("words"),
-            F.collect_set(F.when(flag, F.trim(c(x)))).alias("spellings"),
+            seen_words(low, [*YES, *NO]).alias("words"),
+            F.count_if(flag & ~F.trim(c(x)).isin("Yes", "No")).alias("untidy"),
         )
     return exprs
 
@@ -74,7 +74,7 @@ def _numbers_in(got: dict, rows: int) -> list[str]:
 
 def _yes_no_in(got: dict) -> list[str]:
     flags = {k[3:]: v for k, v in got.items() if k.startswith("yn:")}
-    return [x for x, f in flags.items() if f["other"] == 0 and len(f["words"]) >= 2 and not set(f["spellings"]) <= {"Yes", "No"}]
+    return [x for x, f in flags.items() if f["other"] == 0 and f["untidy"] and len(in_mask(f["words"], [*YES, *NO])) >= 2]
 
 
 def _yes_no_value(df: DataFrame, x: str) -> Column:

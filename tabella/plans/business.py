@@ -606,3 +606,20 @@ def _(spark, d):
 def _(spark, d):
     series = forecast.regular_series(load(spark, d, "events"), "ts", "value", "Day", keys=["event_type"])
     return forecast.forecast_best(series, ["event_type"], 7, "Day")
+
+
+# ------------------------------------------------------------------ questions
+@query(
+    "answerable_questions",
+    """WITH s AS (SELECT o, count(*) AS k FROM (SELECT DISTINCT o_custkey AS o, o_orderpriority AS i FROM orders) GROUP BY 1), b AS (SELECT count(*) >= 10 AND avg(CAST(k >= 2 AS INT)) >= 0.1 AS ok FROM s)
+      SELECT * FROM (VALUES ('future values', true, 'o_totalprice, o_orderdate', 'a date and a number'), ('who leaves, converts or defaults', true, 'returned', 'a two-valued outcome'), ('unusual records', true, 'o_custkey', 'a number'),
+       ('what something should cost', true, 'o_totalprice', 'a number and other columns'), ('which rows are alike', true, 'o_custkey, o_totalprice', 'two numbers'), ('totals across groups', true, 'o_orderpriority, o_custkey', 'a category or date and a number'),
+       ('which machines fail or drift', false, '', 'readings over time or a failed flag'), ('how customers feel', false, '', 'written comments'), ('images, audio or scans', false, '', 'not supported')) t(question, answerable, columns, needs)
+      UNION ALL SELECT 'what is bought together', ok, CASE WHEN ok THEN 'o_custkey, o_orderpriority' ELSE '' END, 'one row per item with a repeating order' FROM b""",
+)
+def _(spark, d):
+    from tabella.operators.questions import answerable_questions
+
+    df = load(spark, d, "orders").withColumn("returned", F.when(F.col("o_orderstatus") == "F", "Yes").otherwise("No"))
+    kinds = {"o_custkey": "numeric", "o_totalprice": "numeric", "o_orderpriority": "categorical", "returned": "categorical", "o_orderdate": "datetime"}
+    return answerable_questions(df, kinds, "o_custkey", "o_orderpriority")

@@ -387,7 +387,7 @@ def _(spark, d):
     return layers.run_config(CONFIG, loaded_orders(spark, d), new_path(spark, "layers"), "orders")["gold"]
 
 
-@query("run_log", f"WITH {CLEAN_SQL} SELECT (SELECT count(*) FROM loaded) AS rows_in, 'FAIL' AS gate, 'ok' AS status, (SELECT count(*) FROM cleaned) AS rows_silver, 6 AS rows_gold")
+@query("append_run_log", f"WITH {CLEAN_SQL} SELECT (SELECT count(*) FROM loaded) AS rows_in, 'FAIL' AS gate, 'ok' AS status, (SELECT count(*) FROM cleaned) AS rows_silver, 6 AS rows_gold")
 def _(spark, d):
     out = new_path(spark, "layers")
     layers.run_config(CONFIG, loaded_orders(spark, d), out, "orders")

@@ -102,12 +102,17 @@ def spool(df: DataFrame, label: str = "stage", small: bool | None = None) -> Dat
     ``small`` passes on a decision made before joins blurred the estimate.
     """
     if fits_one_task(df) if small is None else small:
-        return df.persist()
+        return spread(df).persist()
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores; one small file would otherwise be one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """Read one Parquet table of a data folder."""
     configure(spark)

@@ -5,13 +5,17 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tabella.functions.scalar import CSV_NA, NA_MARKERS, c, is_text, plain_number
 from tabella.operators.profile import wide_agg
 
 SEPARATORS = [",", "\t", ";", "|"]
-ENCODINGS = ["UTF-8", "windows-1252", "ISO-8859-1"]
+# Spark reads UTF-8 and ISO-8859-1; windows-1252 differs from the latter in the
+# bytes 80-9F only, which are swapped after reading. Five of them are undefined.
+WINDOWS = "windows-1252"
+CONTROLS = "".join(chr(i) for i in range(0x80, 0xA0) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+UNDEFINED = "[\u0081\u008d\u008f\u0090\u009d]"
 ONE_FIELD = "\u0001"
 SAFE_NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?$")
 
@@ -42,17 +46,28 @@ def numbered(n: int) -> list[str]:
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     """Whole lines as one text column, in the given encoding."""
     return (
-        spark.read.option("sep", ONE_FIELD).option("encoding", encoding).option("quote", "").option("mode", "PERMISSIVE")
+        spark.read.option("sep", ONE_FIELD).option("encoding", _charset(encoding)).option("quote", "").option("mode", "PERMISSIVE")
         .schema("line string").csv(path)
     )
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """The first encoding that reads every byte of the file (a full, parallel check)."""
-    for encoding in ENCODINGS[:-1]:
-        if _lines(spark, path, encoding).where(F.col("line").contains("�")).isEmpty():
-            return encoding
-    return ENCODINGS[-1]
+    """UTF-8, else windows-1252, else ISO-8859-1: the first that reads every byte
+    of the file (a full, parallel check)."""
+    if _lines(spark, path, "UTF-8").where(F.col("line").contains("\ufffd")).isEmpty():
+        return "UTF-8"
+    if _lines(spark, path, "ISO-8859-1").where(F.col("line").rlike(UNDEFINED)).isEmpty():
+        return WINDOWS
+    return "ISO-8859-1"
+
+
+def _charset(encoding: str) -> str:
+    return "ISO-8859-1" if encoding == WINDOWS else encoding
+
+
+def _decoded(col: Column, encoding: str) -> Column:
+    """A cell's text after swapping the bytes windows-1252 uses for signs."""
+    return F.translate(col, CONTROLS, CONTROLS.encode("latin-1").decode("cp1252")) if encoding == WINDOWS else col
 
 
 def detect_separator(line: str) -> str:
@@ -85,16 +100,20 @@ def read_delimited(spark: SparkSession, path: str, header: bool | None = None, t
     first = _lines(spark, path, encoding).where(F.length(F.trim("line")) > 0).limit(1).collect()
     if not first:
         raise ValueError("The file was read but contains no rows of data.")
-    sep = detect_separator(first[0]["line"])
-    base = spark.read.option("sep", sep).option("encoding", encoding).option("escape", '"')
-    names = [x or f"Unnamed: {i}" for i, x in enumerate(_split(first[0]["line"], sep))]
+    line = first[0]["line"]
+    if encoding == WINDOWS:
+        line = line.encode("latin-1").decode("cp1252")
+    sep = detect_separator(line)
+    base = spark.read.option("sep", sep).option("encoding", _charset(encoding)).option("escape", '"')
+    names = [x or f"Unnamed: {i}" for i, x in enumerate(_split(line, sep))]
     if header is None:
         header = not header_looks_like_data(names)
     names = _unique([x.strip() for x in names]) if header else numbered(len(names))
     schema = T.StructType([T.StructField(x, T.StringType()) for x in names])
     df = base.option("header", header).option("enforceSchema", True).schema(schema).csv(path)
     missing = [*NA_MARKERS, *CSV_NA, ""]
-    df = df.select(*[F.when(~F.trim(c(x)).isin(missing), F.trim(c(x))).alias(x) for x in names])
+    cell = lambda x: F.trim(_decoded(c(x), encoding))
+    df = df.select(*[F.when(~cell(x).isin(missing), cell(x)).alias(x) for x in names])
     df = df.dropna("all")
     return infer_numbers(df) if types else df
 
