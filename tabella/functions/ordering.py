@@ -178,10 +178,11 @@ def carry(
     return df.drop(RANGE, SUBRANGE, *[f"_f_{n}" for n in cols])
 
 
-def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = 64) -> DataFrame:
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int | None = None) -> DataFrame:
     """The first ``n`` rows of each group; a hot group is thinned per salt first."""
     if not keys:
         return df.orderBy(*order).limit(n)
+    salts = salts or max(64, split_count(df))
     groups = [c(k) for k in keys]
     salted = Window.partitionBy(*groups, F.col("_salt")).orderBy(*order)
     whole = Window.partitionBy(*groups).orderBy(*order)

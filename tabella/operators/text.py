@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabella.functions.scalar import c
 from tabella.operators.stats import spearman
+from tabella.session import widen
 
 # The words left out of counts.
 STOP = """a about above after again against all am an and any are as at be because been before being below between
@@ -42,6 +43,7 @@ def tokenize(df: DataFrame, col: str, out: str = "tokens") -> DataFrame:
 
 def _kept_words(df: DataFrame, col: str, keep: list[str] = (), pattern: str = WORD, stop: list[str] = STOP) -> DataFrame:
     """One row per kept word. The stop test is a hashed IN on the exploded word."""
+    df = widen(df.select(*[c(k) for k in keep], c(col)))
     one = df.select(*[c(k) for k in keep], F.explode(words(c(col), pattern)).alias("word"))
     return one.where((F.length("word") > 2) & ~F.col("word").isin(sorted(set(stop))))
 
@@ -62,6 +64,7 @@ def _top_words(one: DataFrame, top: int) -> DataFrame:
 
 def phrase_counts(df: DataFrame, col: str, top: int = 15) -> DataFrame:
     """Pairs of neighbouring kept words that occur more than once."""
+    df = widen(df.select(c(col)))
     t = tokens(c(col))
     pairs = F.zip_with(t, F.slice(t, 2, F.greatest(F.size(t), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
     one = df.where(c(col).isNotNull()).select(F.explode(pairs).alias("phrase")).where("phrase is not null")
@@ -80,6 +83,7 @@ def lexicon_sentiment(df: DataFrame, key: str, col: str, lexicon: DataFrame) ->
     Each text's words are summed in the task that reads it, so one row per text is
     shuffled; Spark chooses the join with the lexicon by the lexicon's size.
     """
+    df = widen(df.select(c(key), c(col)))
     text = F.coalesce(c(col).cast("string"), F.lit(""))
     # Whole-text facts come before the explode, or they would be worked out per word.
     # One empty word keeps texts without any match.

@@ -29,7 +29,7 @@ def _orders(spark, d):
 # ------------------------------------------------------------------ features
 @query(
     "encode_features",
-    """SELECT l_returnflag, l_quantity, l_extendedprice, CASE l_linestatus WHEN 'F' THEN 0.0 ELSE 1.0 END AS l_linestatus, month(l_shipdate)::DOUBLE AS "l_shipdate (month)",
+    """SELECT l_returnflag, l_quantity, l_extendedprice, CASE l_linestatus WHEN 'F' THEN 0e0 ELSE 1e0 END AS l_linestatus, month(l_shipdate)::DOUBLE AS "l_shipdate (month)",
        (isodow(l_shipdate) - 1)::DOUBLE AS "l_shipdate (weekday)" FROM lineitem""",
 )
 def _(spark, d):
@@ -39,7 +39,7 @@ def _(spark, d):
 @query(
     "table_prep",
     """SELECT l_orderkey, l_linenumber, round((l_quantity - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT stddev_samp(l_quantity) FROM lineitem), 6) AS f0,
-       CASE WHEN l_returnflag = (SELECT l_returnflag FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) THEN 1.0 ELSE 0.0 END AS f1 FROM lineitem""",
+       CASE WHEN l_returnflag = (SELECT l_returnflag FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) THEN 1e0 ELSE 0e0 END AS f1 FROM lineitem""",
 )
 def _(spark, d):
     from pyspark.ml.functions import vector_to_array

@@ -235,7 +235,7 @@ def _(spark, d):
 @query(
     "summarize_table",
     " UNION ALL ".join(
-        f"""SELECT '{x}' AS column_name, '{t}' AS stored_as, count(*) AS rows, 0.0 AS missing_pct, count(DISTINCT {x}) AS distinct_values,
+        f"""SELECT '{x}' AS column_name, '{t}' AS stored_as, count(*) AS rows, 0e0 AS missing_pct, count(DISTINCT {x}) AS distinct_values,
         substr({lo}, 1, 24) AS min_value, substr({hi}, 1, 24) AS max_value, {m} AS mean FROM orders"""
         for x, t, lo, hi, m in [
             ("o_orderkey", "bigint", "min(o_orderkey)::VARCHAR", "max(o_orderkey)::VARCHAR", "round(avg(o_orderkey), 2)"),
@@ -398,7 +398,7 @@ def _(spark, d):
 
 @query(
     "stringify_nested",
-    """SELECT user_id, to_json(list_sort(list(DISTINCT event_type))) AS kinds, count(*) AS n FROM events GROUP BY user_id""",
+    """SELECT user_id, CAST(to_json(list_sort(list(DISTINCT event_type))) AS VARCHAR) AS kinds, count(*) AS n FROM events GROUP BY user_id""",
 )
 def _(spark, d):
     df = load(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("kinds"), F.count("*").alias("n"))
@@ -408,14 +408,16 @@ def _(spark, d):
 # ------------------------------------------------------------------ grouping
 @query(
     "group_summary",
-    """SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, o_orderpriority, count(*) AS rows_in_group,
-      round(sum(o_totalprice), 6) AS o_totalprice_sum, round(avg(o_totalprice), 6) AS o_totalprice_mean, round(median(o_totalprice), 6) AS o_totalprice_median,
-      count(o_totalprice) AS o_totalprice_count, min(o_totalprice) AS o_totalprice_min, max(o_totalprice) AS o_totalprice_max,
-      round(stddev_samp(o_totalprice), 6) AS o_totalprice_std, count(DISTINCT o_totalprice) AS o_totalprice_nunique
-      FROM orders GROUP BY ALL""",
+    """WITH o AS (SELECT *, sqrt(o_totalprice) AS worth FROM orders)
+      SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, o_orderpriority, count(*) AS rows_in_group,
+      round(sum(worth), 3) AS worth_sum, round(avg(worth), 3) AS worth_mean, round(median(worth), 3) AS worth_median,
+      count(worth) AS worth_count, round(min(worth), 3) AS worth_min, round(max(worth), 3) AS worth_max,
+      round(stddev_samp(worth), 3) AS worth_std, count(DISTINCT worth) AS worth_nunique
+      FROM o GROUP BY ALL""",
 )
 def _(spark, d):
-    out = grouping.group_summary(load(spark, d, "orders"), ["o_orderpriority"], ["o_totalprice"], list(grouping.FUNCS), "o_orderdate", "Month", digits=6)
+    df = load(spark, d, "orders").withColumn("worth", F.sqrt("o_totalprice"))
+    out = grouping.group_summary(df, ["o_orderpriority"], ["worth"], list(grouping.FUNCS), "o_orderdate", "Month")
     return out.withColumn("month", F.date_format("o_orderdate_month", "yyyy-MM-dd")).drop("o_orderdate_month")
 
 

@@ -113,6 +113,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """``spread`` for a small table; a large one already has its many partitions."""
+    return spread(df) if fits_one_task(df) else df
+
+
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """Read one Parquet table of a data folder."""
     configure(spark)

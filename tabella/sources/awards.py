@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from tabella.functions.scalar import c, whole_days
 from tabella.operators.clean import stringify_nested
 from tabella.operators.profile import wide_agg
+from tabella.session import split_count
 
 # Field names of the award records.
 FIELDS = {
@@ -108,13 +109,15 @@ def share_quota(available: list[int], total: int) -> list[int]:
 
 
 def sample_by_time_slice(
-    df: DataFrame, date_col: str, tie: str, total: int, first: date, last: date, slices: int = MAX_SLICES, salts: int = 64
+    df: DataFrame, date_col: str, tie: str, total: int, first: date, last: date, slices: int = MAX_SLICES
 ) -> DataFrame:
     """``total`` rows spread over the period, the latest of each slice."""
     which, n = slice_of(F.to_date(c(date_col)), first, last, min(slices, total))
     df = df.withColumn("_slice", which).where(F.col("_slice").isNotNull())
     counts = {r["_slice"]: r["count"] for r in df.groupBy("_slice").count().collect()}
     quota = share_quota([counts.get(i, 0) for i in range(n)], total)
+    salts = max(64, split_count(df))
+    most = max(quota, default=0)
     allowed = F.element_at(F.array(*[F.lit(x) for x in quota]), F.col("_slice") + 1)
     order = [c(date_col).desc(), c(tie).asc()]
     thin = Window.partitionBy("_slice", "_salt").orderBy(*order)
@@ -122,7 +125,8 @@ def sample_by_time_slice(
     return (
         df.withColumn("_salt", F.pmod(F.xxhash64(c(tie)), F.lit(salts)))
         .withColumn("_rn", F.row_number().over(thin))
-        .where(F.col("_rn") <= allowed)
+        # A plain number here lets Spark thin each slice before the shuffle.
+        .where(F.col("_rn") <= most)
         .withColumn("_rn", F.row_number().over(whole))
         .where(F.col("_rn") <= allowed)
         .drop("_slice", "_salt", "_rn")
