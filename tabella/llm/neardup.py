@@ -158,22 +158,28 @@ def _rest(buckets: DataFrame, state: DataFrame, classes: DataFrame, texts: DataF
     if open_.isEmpty():
         return None
     rows = saved(_texts_of(texts, open_).select("id", "text").mapInArrow(_shingle_rows(how), "id long, shingle long"), "near-shingles")
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    # The rarest n - ceil(t n) + 1 shingles of a set. Rare means few sets; ties go by the hash, the same way in every set.
-    known = rows.join(often, "shingle").join(classes.select(F.col("rep").alias("id"), "n"), "id")
+    placed = rows.join(open_, "id").join(classes.select(F.col("rep").alias("id"), "n"), "id")
+    often = placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), (F.min("component") != F.max("component")).alias("across"))
+    # A shingle of one component only can't be shared by a pair that is looked for; such ones come first and count as ``own``.
+    # Then rare ones, by the hash where equally rare: the same order in every set.
+    order = F.struct("across", "df", "shingle")
+    sets = placed.join(often, "shingle").groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(order)).alias("all"), F.sum((~F.col("across")).cast("int")).alias("own"))
     kept = F.col("n") - F.ceil(F.col("n") * how.percent / 100) + 1
-    order = F.struct("df", "shingle")
-    near = known.groupBy("id", "n").agg(F.sort_array(F.collect_list(order)).alias("all")).select("id", "n", F.explode(F.slice("all", F.lit(1), kept.cast("int"))).alias("s"))
-    prefix = saved(near.filter("s.df > 1").join(open_, "id").select("id", "n", "component", F.col("s.shingle").alias("shingle")), "near-prefix")
+    near = sets.select("id", "n", "component", "own", F.posexplode(F.slice("all", F.lit(1), kept.cast("int"))).alias("at", "s"))
+    prefix = saved(near.filter("s.across").select("id", "n", "component", "own", "at", F.col("s.shingle").alias("shingle")), "near-prefix")
     # Of each shingle's list only rows outside the component of its largest part look for partners; both ends are smaller than
     # the list squared, and a list of one component has no partners at all.
     parts = prefix.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
     top = parts.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("shingle", F.col("top.component").alias("main"))
     mixed_rows = prefix.join(top, "shingle")
-    few = mixed_rows.filter("component <> main").select("shingle", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    all_ = mixed_rows.select("shingle", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main")
-    fits = (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= how.percent * F.greatest("nx", "ny")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
-    pairs = saved(few.join(all_, "shingle").filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-pairs")
+    few = mixed_rows.filter("component <> main").select("shingle", *[F.col(c).alias(c + "_x") for c in ("id", "n", "component", "own", "at")])
+    all_ = mixed_rows.select("shingle", "main", *[F.col(c).alias(c + "_y") for c in ("id", "n", "component", "own", "at")])
+    # What both can share at most: shared ones before this one, this one, and what follows it.
+    most = F.least(F.col("at_x") - F.col("own_x"), F.col("at_y") - F.col("own_y")) + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    enough = (100 + how.percent) * most >= how.percent * (F.col("n_x") + F.col("n_y"))
+    once = (F.col("component_y") == F.col("main")) | (F.col("id_x") < F.col("id_y"))
+    fits = (F.col("component_x") != F.col("component_y")) & enough & once
+    pairs = saved(few.join(all_, "shingle").filter(fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), "near-pairs")
     return _linked(pairs, texts, how)
 
 
