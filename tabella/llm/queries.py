@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabella.llm import neardup
+from tabella.llm import neardup, toxicity
+from tabella.llm.common import crc_fold
 from tabella.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +29,12 @@ def _query(name: str, sql: str | None = None):
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     out = neardup.near_duplicates(load(spark, folder, "documents"), how=neardup.Similar(words=3, percent=85))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+@_query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    held = crc_fold(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, load(spark, folder, "labels"), learn=lambda id: crc_fold(id, 5) != 0)
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
