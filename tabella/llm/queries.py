@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabella.llm import neardup, toxicity
+from tabella.llm import language, neardup, toxicity
 from tabella.llm.common import crc_fold
 from tabella.session import load
 
@@ -38,3 +38,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(docs, load(spark, folder, "labels"), learn=lambda id: crc_fold(id, 5) != 0)
     out = toxicity.score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    model = language.fit(docs, learn=lambda id: crc_fold(id, 4) != 2)
+    out = language.identify(docs, model)
+    return out.select(F.col("id").alias("doc_id"), (crc_fold(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
