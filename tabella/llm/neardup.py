@@ -174,9 +174,12 @@ def _rest(buckets: DataFrame, state: DataFrame, classes: DataFrame, texts: DataF
     mixed_rows = prefix.join(top, "shingle")
     few = mixed_rows.filter("component <> main").select("shingle", *[F.col(c).alias(c + "_x") for c in ("id", "n", "component", "own", "at")])
     all_ = mixed_rows.select("shingle", "main", *[F.col(c).alias(c + "_y") for c in ("id", "n", "component", "own", "at")])
-    # What both can share at most: shared ones before this one, this one, and what follows it.
+    # A pair that shares s shingles has one within the first n - s + 1 of either set (s for the sizes of this pair); and it
+    # shares at most what stands before this one in both, this one, and what follows it.
+    need = how.percent * (F.col("n_x") + F.col("n_y"))
+    early = ((100 + how.percent) * (F.col("n_x") - F.col("at_x")) >= need) & ((100 + how.percent) * (F.col("n_y") - F.col("at_y")) >= need)
     most = F.least(F.col("at_x") - F.col("own_x"), F.col("at_y") - F.col("own_y")) + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    enough = (100 + how.percent) * most >= how.percent * (F.col("n_x") + F.col("n_y"))
+    enough = early & ((100 + how.percent) * most >= need)
     once = (F.col("component_y") == F.col("main")) | (F.col("id_x") < F.col("id_y"))
     fits = (F.col("component_x") != F.col("component_y")) & enough & once
     pairs = saved(few.join(all_, "shingle").filter(fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), "near-pairs")

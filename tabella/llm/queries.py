@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabella.llm import language, neardup, toxicity
+from tabella.llm import language, mixing, neardup, packing, pseudonyms, toxicity
 from tabella.llm.common import crc_fold
 from tabella.session import load
 
+#: For the registered query only; real runs pass a secret of their own.
+PSEUDONYM_KEY = "registered query, not a secret"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -46,3 +49,25 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     model = language.fit(docs, learn=lambda id: crc_fold(id, 4) != 2)
     out = language.identify(docs, model)
     return out.select(F.col("id").alias("doc_id"), (crc_fold(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@_query("op3_best_fit_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(load(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@_query("op5_mix_sources")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(load(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def _when_kind(kind: str):
+    return lambda span: F.when(span["kind"] == kind, 1)
+
+
+@_query("op10_pii_pseudonyms")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    out = pseudonyms.pseudonymize(docs, PSEUDONYM_KEY, spans="spans")
+    counts = [F.size(F.array_compact(F.transform("spans", _when_kind(k)))).alias(f"n_{k}") for k in pseudonyms.KINDS]
+    return out.select("doc_id", "text", *counts)
