@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabella.session import new_path
 
 CHUNK_BYTES = 2 << 20
-RANK_ROWS = 50_000
+RANK_ROWS = 10_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabella.llm import language, mixing, neardup, packing, pseudonyms, toxicity
+from tabella.llm import language, mixing, neardup, packing, pseudonyms, secrets, toxicity
 from tabella.llm.common import crc_fold
 from tabella.session import load
 
@@ -71,3 +71,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     out = pseudonyms.pseudonymize(docs, PSEUDONYM_KEY, spans="spans")
     counts = [F.size(F.array_compact(F.transform("spans", _when_kind(k)))).alias(f"n_{k}") for k in pseudonyms.KINDS]
     return out.select("doc_id", "text", *counts)
+
+
+@_query("op4_secret_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    found = secrets.find_secrets(docs, secrets.fit(docs))
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.array_compact(F.transform("spans", _when_kind(k)))).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
