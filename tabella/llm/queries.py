@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabella.llm import language, mixing, neardup, packing, pseudonyms, secrets, toxicity
+from tabella.llm import ann_search, exact_search, language, mixing, neardup, packing, pseudonyms, secrets, toxicity
 from tabella.llm.common import crc_fold
 from tabella.session import load
 
@@ -17,6 +17,19 @@ PSEUDONYM_KEY = "registered query, not a secret"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+TOP_K = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0
+)
+select query_id, rank::integer as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+) where rank <= 20
+"""
+
 
 def _query(name: str, sql: str | None = None):
     def add(fn):
@@ -81,3 +94,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.size(F.array_compact(F.transform("spans", _when_kind(k)))).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+@_query("op7_exact_top_k", TOP_K)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_search.exact_top_k(load(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+@_query("op9_approximate_neighbours")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return ann_search.nearest(load(spark, folder, "embeddings"), F.col("id") % 20 == 0)
