@@ -112,7 +112,7 @@ def _placed(plan: Plan):
             g = groups[np.searchsorted(groups[:, 0], bins, side="right") - 1]
             yield pd.DataFrame({"bin": bins, "offset": r[:, 5] + nth % r[:, 3] * n, "capacity": g[:, 2], "used": g[:, 1]})
 
-    return F.pandas_udf(run, "struct<bin: long, offset: long, capacity: long, used: long>", functionType=F.PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(run, "struct<bin: long, offset: long, capacity: long, used: long>")
 
 
 def words(text: str):

@@ -239,7 +239,7 @@ def pseudonymize(docs: DataFrame, key: str | bytes, text: str = "text", spans: s
             yield pd.DataFrame({"text": [t for t, _ in done], "spans": [[{"kind": k, "start": s, "end": e} for k, s, e in found] for _, found in done]})
 
     struct = "struct<text: string, spans: array<struct<kind: string, start: int, end: int>>>"
-    made = F.pandas_udf(run, struct, functionType=F.PandasUDFType.SCALAR_ITER)(F.col(text))
+    made = F.pandas_udf(run, struct)(F.col(text))
     both = docs.select("*", made.alias("_pseudonym"))
     columns = [F.col("_pseudonym.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return both.select(*columns, *([F.col("_pseudonym.spans").alias(spans)] if spans else []))

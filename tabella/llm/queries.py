@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabella.llm import ann_search, exact_search, language, mixing, neardup, packing, pseudonyms, secrets, toxicity
+from tabella.llm import ann_search, exact_search, language, licenses, mixing, neardup, packing, pseudonyms, secrets, toxicity
 from tabella.llm.common import crc_fold
 from tabella.session import load
 
@@ -104,3 +104,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op9_approximate_neighbours")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return ann_search.nearest(load(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+@_query("op1_license_scan")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs.select("doc_id", path.alias("path"), "text")
+    return licenses.scan_licences(files, id="doc_id").withColumnRenamed("id", "doc_id")
