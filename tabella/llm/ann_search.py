@@ -21,6 +21,7 @@ from tabella.llm.common import saved
 from tabella.llm.vectors import best_of, search, sound
 
 BLOCK = 4_096
+NARROW = 0.8  # a block's shortest vector is at least this part of its longest
 CUT = 16
 
 
@@ -99,30 +100,38 @@ def _cell(k: int, turns: dict[int, np.ndarray], how: Settings):
         length = np.linalg.norm(c, axis=1)
         order = np.argsort(-length, kind="stable")
         c_ids, c, length = c_ids[order], c[order], length[order]
-        unit = q / np.linalg.norm(q, axis=1, keepdims=True)
-        asked = codes(np.concatenate([unit, np.zeros((len(q), 1))], axis=1), turn)
-        hq, hc, hs = [], [], []
-        for lo in range(0, len(c), BLOCK):
-            part = c[lo : lo + BLOCK] / length[lo]
+        long_q = np.linalg.norm(q, axis=1)
+        asked = codes(np.concatenate([q / long_q[:, None], np.zeros((len(q), 1))], axis=1), turn)
+        hq, hc, hs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        kth = np.full(len(q), -np.inf)
+        lo = 0
+        while lo < len(c):
+            hi = min(lo + BLOCK, int(np.searchsorted(-length, -NARROW * length[lo], side="right")))
+            live = np.flatnonzero(kth <= long_q * length[lo] * (1 + 1e-9))  # no shorter vector can beat the others' k-th
+            if not len(live):
+                break
+            part = c[lo:hi] / length[lo]
             rest = np.sqrt(np.maximum(1 - (part**2).sum(axis=1), 0))
-            qi, ci = _inside(asked, codes(np.concatenate([part, rest[:, None]], axis=1), turn), max(10 * k, math.ceil(how.share * len(part))))
-            other = q_ids[qi] != c_ids[lo + ci]
-            qi, ci = qi[other], lo + ci[other]
+            qi, ci = _inside(asked[live], codes(np.concatenate([part, rest[:, None]], axis=1), turn), max(10 * k, math.ceil(how.share * len(part))))
+            qi, ci = live[qi], lo + ci
+            other = q_ids[qi] != c_ids[ci]
+            qi, ci = qi[other], ci[other]
             s = np.empty(len(qi))
             for at in range(0, len(qi), 50_000):
                 s[at : at + 50_000] = (q[qi[at : at + 50_000]] * c[ci[at : at + 50_000]]).sum(axis=1)
-            place = best_of(qi, ci, s, c_ids, k)
-            hq.append(qi[place])
-            hc.append(ci[place])
-            hs.append(s[place])
-        hq, hc, hs = (np.concatenate(x) for x in (hq, hc, hs))
-        place = best_of(hq, hc, hs, c_ids, k)
-        return q_ids[hq[place]], c_ids[hc[place]], hs[place]
+            hq, hc, hs = np.concatenate([hq, qi]), np.concatenate([hc, ci]), np.concatenate([hs, s])
+            place = best_of(hq, hc, hs, c_ids, k)
+            hq, hc, hs = hq[place], hc[place], hs[place]
+            n = np.bincount(hq, minlength=len(q))
+            full = n >= k
+            kth[full] = hs[(np.cumsum(n) - 1)[full]]
+            lo = hi
+        return q_ids[hq], c_ids[hc], hs
 
     return run
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 20, how: Settings = Settings(), id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, is_query: Column | str, k: int = 20, how: Settings = Settings(), id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """About the ``k`` largest inner products of every query row (``is_query`` reads ``id``) with every other row.
 
     Every row is indexed; only the rotations are learned, on about ``how.sample`` rows cut by a hash of the id. Null, empty and

@@ -92,7 +92,7 @@ def _cell(k: int):
     return run
 
 
-def exact_top_k(table: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def exact_top_k(table: DataFrame, is_query: Column | str, k: int = 20, scale: float = 64.0, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The ``k`` largest integer products of every query row (``is_query`` reads ``id``) with every other row.
 
     A vector x becomes floor(scale * x), x as double. Null or empty vectors and vectors with null or non-finite components take

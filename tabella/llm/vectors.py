@@ -39,7 +39,7 @@ def matrix(batch: pa.RecordBatch, name: str, i: int) -> tuple[np.ndarray, np.nda
     return ids, vs.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
 
-def search(rows: DataFrame, is_query: Column, k: int, cell: Callable, score: str, label: str) -> DataFrame:
+def search(rows: DataFrame, is_query: Column | str, k: int, cell: Callable, score: str, label: str) -> DataFrame:
     """Each query's ``k`` best: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
     A cell is one panel of queries and one of candidates of the same dimension; ``cell(query ids, vectors, candidate ids,
