@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tabella.llm.common import pick, saved, spare, text_shingles
 
 WORD = re.compile(r"\w+")
+QUOTED = re.compile(r"\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|„[^“”\n]{1,80}[“”]|«[^»\n]{1,80}»")
 MARKS = "\"“”„«»‘’'"
 REPORTING = frozenset("said says say quoted quote quotes wrote writes called calls word term meaning reported dijo dice palabra sagte sagt wort dit disait mot".split())
 FIGURES = 8
@@ -186,11 +187,11 @@ class Reader:
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each batch, in how many toxic and other texts a word (w) or beginning (4 to 6 letters) stands."""
+    """For each batch, in how many toxic and other texts a word (w) or beginning (4 to 6 letters) stands outside quotation marks."""
     for batch in batches:
         counts = {True: Counter(), False: Counter()}
         for text, toxic in zip(batch["text"], batch["toxic"]):
-            words = set(WORD.findall((text or "").lower()))
+            words = set(WORD.findall(QUOTED.sub(" ", (text or "").lower())))
             counts[toxic == 1].update(("w", w) for w in words if 3 <= len(w) <= 40)
             counts[toxic == 1].update({(str(n), w[:n]) for w in words for n in (4, 5, 6) if len(w) > n})
         keys = list(counts[True].keys() | counts[False].keys())
@@ -231,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column] |
     marks = marks.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
     texts = pick(docs, id=id, text=text).filter("text is not null")
     sample = texts.join(marks, "id").select("text", "toxic").mapInPandas(_least_shingle, "text string, toxic int, least long")
-    sample = saved(sample.dropDuplicates(["least", "toxic"]).select("text", "toxic"), "toxic-sample")
+    sample = saved(sample.groupBy("least", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxic-sample")
     sides = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sides.get(1, 0), sides.get(0, 0)
     model = Model(window=how.window)
