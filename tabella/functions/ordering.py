@@ -1,77 +1,33 @@
 """Positions, running state and neighbours over data too large for one sort task.
 
-A plain window puts a whole group into one task. Here a large table is first cut
-into order ranges whose edges come from one approximate-quantile aggregate, so a
-window only ever sorts (group, range); what crosses a range is a small table with
-one row per (group, range). A value so common that it fills whole ranges gets a
-range of its own, cut further by the tie column. Ties therefore need a column
-that tells rows apart.
+A plain window puts a whole group into one task. Here a table is first cut into
+ranges of the ordered values themselves (order column, then tie column) by a
+range partitioning, so a window only ever sorts (group, range); what crosses a
+range is a small table with one row per (group, range). A value so common that
+it would fill whole ranges is cut by the tie column, which tells its rows apart.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabella.functions.scalar import c, dtype, is_date, is_number, is_text, join_keys
-from tabella.session import split_count
+from tabella.functions.scalar import c, join_keys
+from tabella.session import split_count, stage
 
-RANGE, SUBRANGE = "_range", "_subrange"
+RANGE = "_range"
 CHUNK_ROWS = 200_000
 
 
-def sortable(df: DataFrame, name: str) -> Column:
-    """A double that sorts like the column; text by its first six bytes, which is
-    enough to cut ranges (rows inside a range are sorted by the text itself)."""
-    t = dtype(df, name)
-    if is_date(t):
-        return F.unix_micros(c(name).cast("timestamp")).cast("double")
-    if is_number(t):
-        return c(name).cast("double")
-    if is_text(t):
-        return F.conv(F.rpad(F.substring(F.hex(F.encode(c(name), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
-    raise TypeError(f"Column '{name}' cannot be ordered by.")
-
-
-def _edges(df: DataFrame, col: Column, parts: int) -> list[float]:
-    probs = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(col, probs, 10_000).alias("e")).first()["e"] or []
-    edges: list[float] = []
-    for i, e in enumerate(found):
-        if not edges or e > edges[-1]:
-            edges.append(e)
-        if i + 1 < len(found) and found[i + 1] == e and math.nextafter(e, math.inf) > edges[-1]:
-            edges.append(math.nextafter(e, math.inf))
-    return edges
-
-
-def _cut(df: DataFrame, col: Column, edges: list[float], out: str) -> DataFrame:
-    df = df.withColumn("_cut", col)
-    if not edges:
-        return df.withColumn(out, F.when(F.col("_cut").isNull(), -1).otherwise(0)).drop("_cut")
-    cutter = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_cut", outputCol="_cut_id", handleInvalid="keep")
-    return (
-        cutter.transform(df)
-        .withColumn(out, F.when(F.col("_cut").isNull(), -1).otherwise(F.col("_cut_id").cast("int")))
-        .drop("_cut", "_cut_id")
-    )
-
+def order_ranges(df: DataFrame, sort: list[Column], parts: int | None = None) -> tuple[DataFrame, bool]:
+    """Add a range number that grows along ``sort``. Returns (df, was it cut).
 
-def order_ranges(df: DataFrame, order: str, tie: str | None = None, parts: int | None = None) -> tuple[DataFrame, bool]:
-    """Add range columns that sort like (order, tie). Returns (df, was it cut)."""
+    Rows equal in all sort columns share a range. The cut table is written once:
+    the numbers belong to one partitioning and must not be drawn again.
+    """
     parts = parts or split_count(df)
     if parts <= 1:
-        return df.withColumn(RANGE, F.lit(0)).withColumn(SUBRANGE, F.lit(0)), False
-    edges = _edges(df, sortable(df, order), parts)
-    df = _cut(df, sortable(df, order), edges, RANGE)
-    points = [i for i, e in enumerate(edges, start=1) if i < len(edges) and edges[i] == math.nextafter(e, math.inf)]
-    if tie is None or not points:
-        return df.withColumn(SUBRANGE, F.lit(0)), True
-    tie_edges = _edges(df.where(F.col(RANGE).isin(points)), sortable(df, tie), parts)
-    df = _cut(df, sortable(df, tie), tie_edges, SUBRANGE)
-    return df.withColumn(SUBRANGE, F.when(F.col(RANGE).isin(points), F.col(SUBRANGE)).otherwise(0)), True
+        return df.withColumn(RANGE, F.lit(0)), False
+    return stage(df.repartitionByRange(parts, *sort).withColumn(RANGE, F.spark_partition_id()), "ranges"), True
 
 
 def add_running(
@@ -79,21 +35,21 @@ def add_running(
 ) -> DataFrame:
     """Running sum of ``amount`` inside each group, in (order, tie) order."""
     sort = [c(order)] + ([c(tie)] if tie else [])
-    df, cut = order_ranges(df.withColumn("_amount", amount), order, tie, parts)
-    groups = [c(k) for k in keys] + [F.col(RANGE), F.col(SUBRANGE)]
+    df, cut = order_ranges(df.withColumn("_amount", amount), sort, parts)
+    groups = [c(k) for k in keys] + [F.col(RANGE)]
     here = Window.partitionBy(*groups).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn(out, F.sum("_amount").over(here))
     if cut:
-        cols = [*keys, RANGE, SUBRANGE]
+        cols = [*keys, RANGE]
         sizes = df.groupBy(*[c(k) for k in cols]).agg(F.sum("_amount").alias("_size"))
         before = (
             Window.partitionBy(*[c(k) for k in keys])
-            .orderBy(RANGE, SUBRANGE)
+            .orderBy(RANGE)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
         df = join_keys(df, offsets, cols).withColumn(out, F.col(out) + F.col("_offset")).drop("_offset")
-    return df.drop("_amount", RANGE, SUBRANGE)
+    return df.drop("_amount", RANGE)
 
 
 def add_position(
@@ -148,23 +104,21 @@ def carry(
 ) -> DataFrame:
     """Fill gaps with the last known value before (or the next one after) a row."""
     keys = keys or []
-    df, cut = order_ranges(df, order, tie, parts)
     way = (lambda x: x.desc_nulls_last()) if backward else (lambda x: x.asc_nulls_last())
     sort = [way(c(order))] + ([way(c(tie))] if tie else [])
-    groups = [c(k) for k in keys] + [F.col(RANGE), F.col(SUBRANGE)]
-    here = Window.partitionBy(*groups).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+    df, cut = order_ranges(df, sort, parts)
+    in_order = Window.partitionBy(*[c(k) for k in keys], F.col(RANGE)).orderBy(*sort)
+    here = in_order.rowsBetween(Window.unboundedPreceding, 0)
     for name in cols:
         df = df.withColumn(f"_f_{name}", F.last(c(name), ignorenulls=True).over(here))
     if cut:
         # One row per (group, range): the value a later range inherits.
-        pick = F.min_by if backward else F.max_by
-        rank = F.struct(c(order), *([c(tie)] if tie else []))
-        edge_cols = [*keys, RANGE, SUBRANGE]
+        df = df.withColumn("_nth", F.row_number().over(in_order))
+        edge_cols = [*keys, RANGE]
         edge = df.groupBy(*[c(k) for k in edge_cols]).agg(
-            *[pick(c(n), F.when(c(n).isNotNull(), rank)).alias(f"_e_{n}") for n in cols]
+            *[F.max_by(c(n), F.when(c(n).isNotNull(), F.col("_nth"))).alias(f"_e_{n}") for n in cols]
         )
-        ranges = [F.col(RANGE).desc(), F.col(SUBRANGE).desc()] if backward else [F.col(RANGE), F.col(SUBRANGE)]
-        past = Window.partitionBy(*[c(k) for k in keys]).orderBy(*ranges).rowsBetween(Window.unboundedPreceding, -1)
+        past = Window.partitionBy(*[c(k) for k in keys]).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
         edge = edge.select(
             *[c(k) for k in edge_cols],
             *[F.last(F.col(f"_e_{n}"), ignorenulls=True).over(past).alias(f"_i_{n}") for n in cols],
@@ -172,22 +126,22 @@ def carry(
         df = join_keys(df, edge, edge_cols)
         for n in cols:
             df = df.withColumn(f"_f_{n}", F.coalesce(F.col(f"_f_{n}"), F.col(f"_i_{n}")))
-        df = df.drop(*[f"_i_{n}" for n in cols])
+        df = df.drop("_nth", *[f"_i_{n}" for n in cols])
     for n in cols:
         df = df.withColumn(n, F.col(f"_f_{n}"))
-    return df.drop(RANGE, SUBRANGE, *[f"_f_{n}" for n in cols])
+    return df.drop(RANGE, *[f"_f_{n}" for n in cols])
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int | None = None) -> DataFrame:
     """The first ``n`` rows of each group; a hot group is thinned per salt first."""
     if not keys:
         return df.orderBy(*order).limit(n)
-    salts = salts or max(64, split_count(df))
+    salts = salts or 64
     groups = [c(k) for k in keys]
     salted = Window.partitionBy(*groups, F.col("_salt")).orderBy(*order)
     whole = Window.partitionBy(*groups).orderBy(*order)
     return (
-        df.withColumn("_salt", F.floor(F.rand(7) * salts))
+        df.withColumn("_salt", F.pmod(F.xxhash64(*[c(x) for x, kind in df.dtypes if "map<" not in kind]), F.lit(salts)))
         .withColumn("_rn", F.row_number().over(salted))
         .where(F.col("_rn") <= n)
         .withColumn("_rn", F.row_number().over(whole))

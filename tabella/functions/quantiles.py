@@ -1,7 +1,7 @@
 """Exact quantiles with linear interpolation, at any size.
 
 ``percentile`` keeps every distinct value of a group in one buffer. That is used
-only when the whole table is small; otherwise the order statistics are found by
+only when the counted rows fit one task; otherwise the order statistics are found by
 narrowing (whole columns) or by counting value ranges (per group).
 """
 
@@ -12,9 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabella.functions.ordering import RANGE, SUBRANGE, order_ranges
+from tabella.functions.ordering import RANGE, order_ranges
 from tabella.functions.scalar import c, join_keys, q
-from tabella.session import fits_one_task, split_count
+from tabella.session import few_rows, split_count
 
 BRACKET_ROWS = 1_000_000
 ACCURACY = 10_000
@@ -41,7 +41,7 @@ def column_quantiles(
         return {}
     names = list(wanted)
     df = df.select(*[c(n).cast("double").alias(n) for n in names])
-    small = fits_one_task(df) if small is None else small
+    small = few_rows(df) if small is None else small
     if small:
         row = df.agg(*[F.percentile(c(n), wanted[n]).alias(f"q{i}") for i, n in enumerate(names)]).first()
         return {n: list(row[i]) if row[i] is not None else [None] * len(wanted[n]) for i, n in enumerate(names)}
@@ -124,7 +124,7 @@ def _narrow(df: DataFrame, targets: list[_Target], exact_rows: int) -> None:
 
 def _pick_by_value(df: DataFrame, t: _Target) -> None:
     per_value = df.where(_inside(t)).groupBy(c(t.col).alias("v")).agg(F.count("*").alias("n"))
-    per_value, _ = order_ranges(per_value, "v")
+    per_value, _ = order_ranges(per_value, [F.col("v")])
     seen = t.below
     for row in per_value.groupBy(RANGE).agg(F.sum("n").alias("n")).orderBy(RANGE).collect():
         if t.rank < seen + row["n"]:
@@ -185,7 +185,7 @@ def _order_statistics(df: DataFrame, keys: list[str], value: str, probs: list[fl
         .groupBy(*[c(k) for k in keys], c(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))
     )
-    counted, _ = order_ranges(counted, "_v", None, parts)
+    counted, _ = order_ranges(counted, [F.col("_v")], parts)
     cols = [*keys, RANGE]
     sizes = counted.groupBy(*[c(k) for k in cols]).agg(F.sum("_n").alias("_size"))
     by_key = Window.partitionBy(*[c(k) for k in keys])
@@ -204,7 +204,7 @@ def _order_statistics(df: DataFrame, keys: list[str], value: str, probs: list[fl
     hits = sizes.withColumn("_ws", F.filter(wanted, here)).where(F.size("_ws") > 0).select(*[c(k) for k in cols], "_offset", "_ws")
     run = Window.partitionBy(*[c(k) for k in cols]).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        join_keys(counted.drop(SUBRANGE), hits, cols, "inner")
+        join_keys(counted, hits, cols, "inner")
         .withColumn("_upto", F.sum("_n").over(run) + F.col("_offset"))
         .withColumn("_w", F.explode("_ws"))
         .where((F.col("_w.rank") < F.col("_upto")) & (F.col("_w.rank") >= F.col("_upto") - F.col("_n")))

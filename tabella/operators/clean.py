@@ -13,7 +13,7 @@ from tabella.functions.scalar import (
 )
 from tabella.operators.profile import is_code_name, profile_columns, wide_agg
 from tabella.operators.wrangle import NEAR_EMPTY, converted
-from tabella.session import fits_one_task, spool
+from tabella.session import cheap_to_cache, spool
 
 YES = ["yes", "y", "true", "t"]
 NO = ["no", "n", "false", "f"]
@@ -329,7 +329,7 @@ def clean_table(
     columns_in = len(df.columns)
 
     # 1-3. empty rows and columns, numbers in text, yes/no: one pass of facts
-    if fits_one_task(df):
+    if cheap_to_cache(df):
         df = spool(df, "raw", True)
     filled = any_of([c(x).isNotNull() for x in df.columns])
     have = wide_agg(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabella.functions.quantiles import column_quantiles, group_quantiles
 from tabella.functions.scalar import c, is_number, join_keys, moment, period_start
-from tabella.session import fits_one_task
+from tabella.session import few_rows
 
 FUNCS = ("sum", "mean", "median", "count", "min", "max", "std", "nunique")
 MARGIN_FUNCS = ("sum", "count", "mean", "median", "min", "max")
@@ -35,7 +35,7 @@ def aggregate(func: str, col: str) -> Column:
 
 def grouped(df: DataFrame, keys: list[str], measures: list[tuple[str, str, str]], rows: str | None = None) -> DataFrame:
     """Aggregate (column, function, output name) measures; medians stay splittable."""
-    small = fits_one_task(df)
+    small = few_rows(df)
     direct = [m for m in measures if small or m[1] != "median"]
     aggs = ([F.count("*").alias(rows)] if rows else []) + [aggregate(f, v).alias(o) for v, f, o in direct]
     out = df.groupBy(*[c(k) for k in keys]).agg(*(aggs or [F.count("*").alias("_rows")]))
@@ -107,7 +107,7 @@ def pivot_table(
     heads = [r[0] for r in df.select(c(cols)).distinct().orderBy(c(cols)).collect()]
     if func not in MARGIN_FUNCS:
         long = grouped(df, [rows, cols], [(value, func, "_v")])
-    elif func == "median" and not fits_one_task(df):
+    elif func == "median" and not few_rows(df):
         total = [(rows, cols), (rows,), (cols,), ()]
         parts = []
         for keys in total:

@@ -18,7 +18,7 @@ from tabella.functions.scalar import c, number
 from tabella.operators.describe import bin_index, category_counts
 from tabella.operators.profile import ordinal_orders, ordinal_rank, wide_agg
 from tabella.operators.stats import normality_k2
-from tabella.session import fits_one_task, spool
+from tabella.session import cheap_to_cache, spool
 
 LOW_MEDIUM_HIGH = ["Low", "Medium", "High"]
 QUANTILES = 1000
@@ -142,7 +142,7 @@ def fit_lambdas(df: DataFrame, methods: dict[str, str], points: int = 16) -> dic
     """
     names = list(methods)
     cells = F.array(*[F.struct(F.lit(i).alias("k"), number(df, x).alias("v")) for i, x in enumerate(names)])
-    flat = spool(df.select(F.inline(cells)).where("v is not null"), "powers", fits_one_task(df))
+    flat = spool(df.select(F.inline(cells)).where("v is not null"), "powers", cheap_to_cache(df))
     box = F.col("k").isin([i for i, x in enumerate(names) if methods[x] == "box-cox"])
     value = F.when(box, box_cox_value(F.col("v"), F.col("g"))).otherwise(yeo_johnson_value(F.col("v"), F.col("g")))
     weight = F.when(box, F.ln("v")).otherwise(F.signum("v") * F.log1p(F.abs("v")))

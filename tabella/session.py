@@ -6,6 +6,7 @@ same operator works in a local test and on a cluster.
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -21,12 +22,11 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# Below this plan-size estimate a whole group may be sorted or buffered by one
-# task; above it the split algorithms are used. Override with the session
-# setting ``tabella.singleTaskBytes`` (0 forces the split algorithms).
-SINGLE_TASK_BYTES = 64 << 20
-SPLIT_BYTES = 32 << 20
-MAX_SPLITS = 1000
+# A range of an ordered table, and a group that one task buffers, has about this many rows at most. Rows are counted, not
+# estimated. Override with the session setting ``tabella.singleTaskRows`` (0 forces many ranges).
+SINGLE_TASK_ROWS = 1_000_000
+# Stages whose plan is estimated below this are cached instead of written; results don't depend on it.
+CACHE_BYTES = 64 << 20
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -47,7 +47,7 @@ def local_session(cores: int | str = "*", app: str = "tabella", **conf) -> Spark
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    spark = configure(builder.getOrCreate())
+    spark = configure(builder.config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -58,20 +58,24 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """True when the estimate says one task can hold the whole table."""
-    limit = int(df.sparkSession.conf.get("tabella.singleTaskBytes", str(SINGLE_TASK_BYTES)))
-    return estimated_bytes(df) <= limit
+def few_rows(df: DataFrame) -> bool:
+    """True when one task can hold all rows; counted."""
+    limit = int(df.sparkSession.conf.get("tabella.singleTaskRows", str(SINGLE_TASK_ROWS)))
+    return limit > 0 and df.count() <= limit
 
 
 def split_count(df: DataFrame) -> int:
-    """How many order ranges to cut a table into; 1 when it fits one task."""
-    if fits_one_task(df):
-        return 1
+    """How many order ranges to cut a table into, from its counted rows."""
     conf = df.sparkSession.conf.get("tabella.splits", "")
     if conf:
         return int(conf)
-    return int(min(MAX_SPLITS, max(8, estimated_bytes(df) // SPLIT_BYTES)))
+    limit = int(df.sparkSession.conf.get("tabella.singleTaskRows", str(SINGLE_TASK_ROWS)))
+    return max(1, math.ceil(df.count() / limit)) if limit > 0 else 8
+
+
+def cheap_to_cache(df: DataFrame) -> bool:
+    """Whether a stage is cached or written; no job runs."""
+    return estimated_bytes(df) <= CACHE_BYTES
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -90,22 +94,37 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{work_dir(spark).rstrip('/')}/tabella/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below this application's part of the shared folder."""
+    return f"{_stages(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def _stages(spark: SparkSession) -> str:
+    return f"{work_dir(spark).rstrip('/')}/tabella/{spark.sparkContext.applicationId}"
+
+
+def free_stages(spark: SparkSession) -> None:
+    """Delete every stage that this application has written; call it once all results have been written or collected."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write a table below the shared folder and read it back."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spool(df: DataFrame, label: str = "stage", small: bool | None = None) -> DataFrame:
     """Write a stage that several passes read, and read it back.
 
     The written table survives lost executors, cuts the lineage, and lets later
-    passes prune columns. A table small enough for one task is only cached.
+    passes prune columns. A small table is only cached.
     ``small`` passes on a decision made before joins blurred the estimate.
     """
-    if fits_one_task(df) if small is None else small:
+    if cheap_to_cache(df) if small is None else small:
         return spread(df).persist()
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return stage(df, label)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -115,7 +134,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def widen(df: DataFrame) -> DataFrame:
     """``spread`` for a small table; a large one already has its many partitions."""
-    return spread(df) if fits_one_task(df) else df
+    return spread(df) if cheap_to_cache(df) else df
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:

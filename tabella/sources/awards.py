@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from tabella.functions.scalar import c, whole_days
 from tabella.operators.clean import stringify_nested
 from tabella.operators.profile import wide_agg
-from tabella.session import split_count
 
 # Field names of the award records.
 FIELDS = {
@@ -116,7 +115,7 @@ def sample_by_time_slice(
     df = df.withColumn("_slice", which).where(F.col("_slice").isNotNull())
     counts = {r["_slice"]: r["count"] for r in df.groupBy("_slice").count().collect()}
     quota = share_quota([counts.get(i, 0) for i in range(n)], total)
-    salts = max(64, split_count(df))
+    salts = 64
     most = max(quota, default=0)
     allowed = F.element_at(F.array(*[F.lit(x) for x in quota]), F.col("_slice") + 1)
     order = [c(date_col).desc(), c(tie).asc()]

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -11,16 +12,17 @@ from tabella.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "tests")
+    folder = tempfile.mkdtemp(prefix="tabella-tests-")
+    return local_session(4, "tests", **{"spark.checkpoint.dir": f"file:{folder}"})
 
 
 @pytest.fixture
 def split(spark):
     """Force the algorithms for tables too large for one task."""
-    spark.conf.set("tabella.singleTaskBytes", "0")
+    spark.conf.set("tabella.singleTaskRows", "0")
     spark.conf.set("tabella.splits", "5")
     yield
-    spark.conf.unset("tabella.singleTaskBytes")
+    spark.conf.unset("tabella.singleTaskRows")
     spark.conf.unset("tabella.splits")
 
 

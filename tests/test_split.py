@@ -1,6 +1,8 @@
 """The algorithms for large tables agree with brute force, hot keys and ties included."""
 
 import random
+from datetime import date, timedelta
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -112,15 +114,45 @@ def test_operators_agree_when_split(spark, small_data):
 
     queries = entry.queries()
     for name in ["fill_forward", "group_summary", "pivot_table", "flag_gaps", "vs_others", "series_quality", "box_stats", "correlation_matrix_spearman", "ordinal_encode", "clean_table"]:
-        spark.conf.unset("tabella.singleTaskBytes")
+        spark.conf.unset("tabella.singleTaskRows")
         a = queries[name](spark, small_data)
         want = rows_of(a.columns, [tuple(r) for r in a.collect()])
-        spark.conf.set("tabella.singleTaskBytes", "0")
+        spark.conf.set("tabella.singleTaskRows", "0")
         spark.conf.set("tabella.splits", "4")
         try:
             b = queries[name](spark, small_data)
             got = rows_of(b.columns, [tuple(r) for r in b.collect()])
         finally:
-            spark.conf.unset("tabella.singleTaskBytes")
+            spark.conf.unset("tabella.singleTaskRows")
             spark.conf.unset("tabella.splits")
         assert got == want, name
+
+
+ORDERS = {
+    "text dates": ("string", lambda i: f"2024-{1 + i // 28 % 12:02d}-{1 + i % 28:02d}"),
+    "long keys": ("long", lambda i: 2**60 + i // 3),
+    "decimals": ("decimal(30,10)", lambda i: Decimal(i // 2) / 1000 + Decimal(10) ** 18),
+    "dates": ("date", lambda i: date(2000, 1, 1) + timedelta(days=i // 4)),
+    "mostly one value": ("string", lambda i: "same value in most rows" if i % 10 else f"z{i}"),
+}
+
+
+@pytest.mark.parametrize("name", ORDERS)
+def test_ranges_are_cut_on_real_values(spark, split, name):
+    kind, make = ORDERS[name]
+    rng = random.Random(1)
+    rows = [(None if rng.random() < 0.05 else make(i), i, None if rng.random() < 0.5 else i * 1.0) for i in range(2000)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, f"at {kind}, id long, value double").repartition(3)
+    known = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1]))
+    gaps = sorted((r for r in rows if r[0] is None), key=lambda r: r[1])
+    place = {r[1]: i for i, r in enumerate([*gaps, *known], 1)}
+    got = add_position(table, [], "at", "id").select("id", "_pos").collect()
+    assert {r["id"]: r["_pos"] for r in got} == place
+    for backward in (False, True):
+        last, want = None, {}
+        for r in [*(known[::-1] if backward else known), *(gaps[::-1] if backward else gaps)]:
+            last = r[2] if r[2] is not None else last
+            want[r[1]] = last
+        filled = carry(table, ["value"], "at", "id", backward=backward).select("id", "value").collect()
+        assert {r["id"]: r["value"] for r in filled} == want
