@@ -13,15 +13,21 @@ CSV_NA = ["#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1
 
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
-# The date spellings tried, in this order.
+ISO_START = r"^\d{4}-\d{1,2}-\d{1,2}([ T]|$)"
+TIME = "[ H:mm[:ss[.SSSSSS][.SSS]]]"
+
+# The date spellings tried after ISO dates and times (read by a plain cast), in this order.
 DATE_FORMATS = [
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd.MM.yyyy",
+    f"yyyy/M/d{TIME}",
+    f"M/d/yyyy{TIME}",
+    "M/d/yyyy h:mm[:ss] a",
+    f"d.M.yyyy{TIME}",
     "yyyyMMdd",
+    f"d-MMM-yyyy{TIME}",
+    f"d MMM yyyy{TIME}",
+    f"MMM d, yyyy{TIME}",
+    "d MMMM yyyy",
+    "MMMM d, yyyy",
 ]
 
 PERIODS = {"Day": "day", "Week": "week", "Month": "month", "Quarter": "quarter", "Year": "year"}
@@ -80,8 +86,13 @@ def moment(df: DataFrame, name: str) -> Column:
     """Any column as a timestamp; text is tried against ``DATE_FORMATS``."""
     if is_date(dtype(df, name)):
         return c(name).cast("timestamp")
-    text = F.trim(c(name).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+    return read_moment(F.trim(c(name).cast("string")))
+
+
+def read_moment(text: Column) -> Column:
+    """Text as a timestamp: ISO first, then ``DATE_FORMATS``; null when none fits."""
+    iso = F.when(text.rlike(ISO_START), text.try_cast("timestamp"))
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
 
 
 def period_start(col: Column, period: str) -> Column:
@@ -97,6 +108,8 @@ def period_label(col: Column, period: str) -> Column:
 
 def seen_words(col: Column, words: list[str]) -> Column:
     """Which of up to 62 words a column holds, as one integer aggregate (see ``in_mask``)."""
+    if len(words) > 62:
+        raise ValueError("At most 62 words fit one integer.")
     code = F.lit(None).cast("long")
     for i, w in enumerate(words):
         code = F.when(col == w, F.lit(1 << i).cast("long")).otherwise(code)

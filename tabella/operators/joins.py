@@ -20,12 +20,17 @@ def _check(left_on: list[str], right_on: list[str], how: str) -> None:
         raise ValueError(f"Use one of {', '.join(HOW)}.")
 
 
+def _equal(pairs: list[tuple[str, str]], match_missing: bool):
+    return all_of([F.col(a).eqNullSafe(F.col(b)) if match_missing else F.col(a) == F.col(b) for a, b in pairs])
+
+
 def join_tables(
-    left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], how: str = "left", suffix: str = "_2"
+    left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], how: str = "left", suffix: str = "_2", match_missing: bool = False
 ) -> DataFrame:
-    """Join two tables; missing keys match each other, clashing right columns get a suffix.
+    """Join two tables; clashing right columns get a suffix.
 
-    The strategy (broadcast or sort-merge, skew splits) is left to Spark's own sizes.
+    A row with a missing key is a row without a partner. ``match_missing`` pairs missing keys with each other, which gives
+    all pairs of them. The strategy (broadcast or sort-merge, skew splits) is left to Spark's own sizes.
     """
     _check(left_on, right_on, how)
     l, r = _keyed(left, left_on, "l"), _keyed(right, right_on, "r")
@@ -38,7 +43,7 @@ def join_tables(
         *[c(x).alias(f"_v_{x}") for x in right.columns if x not in shared],
         *[F.col(f"_r{i}") for i in range(len(right_on))],
     )
-    on = all_of([F.col(f"_l{i}").eqNullSafe(F.col(f"_r{i}")) for i in range(len(left_on))])
+    on = _equal([(f"_l{i}", f"_r{i}") for i in range(len(left_on))], match_missing)
     both = l.join(r, on, {"outer": "full"}.get(how, how))
     out = []
     for x in left.columns:
@@ -57,7 +62,7 @@ def join_tables(
 
 
 def join_report(
-    left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], how: str = "left"
+    left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], how: str = "left", match_missing: bool = False
 ) -> DataFrame:
     """Row counts of a join without building it: each side is counted per key first."""
     _check(left_on, right_on, how)
@@ -65,7 +70,7 @@ def join_report(
     l = left.select(*[F.trim(as_text(left, k)).alias(x) for k, x in zip(left_on, cols)]).groupBy(*cols).agg(F.count("*").alias("l"))
     r = right.select(*[F.trim(as_text(right, k)).alias("r" + x) for k, x in zip(right_on, cols)])
     r = r.groupBy(*["r" + x for x in cols]).agg(F.count("*").alias("r"))
-    both = l.join(r, all_of([F.col(x).eqNullSafe(F.col("r" + x)) for x in cols]), "full")
+    both = l.join(r, _equal([(x, "r" + x) for x in cols], match_missing), "full")
     zero = lambda x: F.coalesce(x, F.lit(0))
     matched = zero(F.sum(F.col("l") * F.col("r")))
     left_only = zero(F.sum(F.when(F.col("r").isNull(), F.col("l")))) if how in ("left", "outer") else F.lit(0)

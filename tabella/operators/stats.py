@@ -21,7 +21,6 @@ from tabella.session import spool
 
 STRONG, MODERATE = 0.7, 0.4
 COLLINEAR = 0.8
-MAX_LEVELS = 50
 
 
 def _numbers(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -329,22 +328,20 @@ def drivers(df: DataFrame, target: str, cols: list[str], profile: dict[str, str]
     cols = [x for x in cols if x != target and x in df.columns]
     rows: list[tuple] = []
     cats = [x for x in cols if profile.get(x) == "categorical"]
-    levels = wide_agg(df, {x: F.count_distinct(c(x)) for x in cats}) if cats else {}
-    few = [x for x in cats if levels[x] <= MAX_LEVELS]
     nums = [x for x in cols if profile.get(x) == "numeric"]
     outcome = profile.get(target) == "categorical" and df.agg(F.count_distinct(c(target))).first()[0] == 2
     if outcome:
         if positive is None:
             positive = df.agg(F.max(c(target).cast("string"))).first()[0]
         flag = F.coalesce(c(target).cast("string") == positive, F.lit(False))
-        rows += _number_drivers(df, nums, flag, spark) + [r for x in few for r in _category_driver(df, x, flag, spark)]
+        rows += _number_drivers(df, nums, flag, spark) + [r for x in cats for r in _category_driver(df, x, flag, spark)]
     elif profile.get(target) == "numeric":
         for x in nums:
             pair = _numbers(df, [x, target]).toDF("x", "y").dropna()
             n, rho = pair.count(), spearman(df, x, target)
             if rho is not None:
                 rows.append((x, "spearman", abs(rho), correlation_p(spark, rho, n), rho, None, None))
-        rows += [r for x in few for r in _anova_driver(df, x, target, spark)]
+        rows += [r for x in cats for r in _anova_driver(df, x, target, spark)]
     out = spark.createDataFrame(
         rows, "column_name string, test string, strength double, p_value double, first double, second double, detail string"
     )
@@ -383,14 +380,26 @@ def _category_driver(df: DataFrame, x: str, flag: Column, spark) -> list[tuple]:
 
 
 def _anova_driver(df: DataFrame, x: str, target: str, spark) -> list[tuple]:
-    groups = _group_moments(df, target, x)
-    used = [g for g in groups if g["rows"] >= 3]
-    if len(used) < 2:
+    """Only sums over the groups leave Spark, so a category may have any number of values."""
+    v = number(df, target)
+    whole = df.agg(F.var_samp(v).alias("s2"), F.avg(v).alias("m"), F.count("*").alias("n")).first()
+    groups = df.where(c(x).isNotNull()).groupBy(c(x).cast("string").alias("g"))
+    groups = groups.agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.var_samp(v).alias("s2"), F.count("*").alias("rows"))
+    used = F.col("rows") >= 3
+    full = used & (F.col("n") > 0)
+    gap = F.col("m") - F.lit(whole["m"])
+    end = F.when(F.col("m").isNotNull(), F.struct("m", "g"))
+    s = groups.agg(
+        F.count_if(used).alias("used"), F.count_if(full).alias("k"), F.sum(F.when(full, F.col("n"))).alias("n"),
+        F.sum(F.when(full, F.col("n") * gap)).alias("s1"), F.sum(F.when(full, F.col("n") * gap * gap)).alias("s2"),
+        F.sum(F.when(full, (F.col("n") - 1) * F.coalesce("s2", F.lit(0.0)))).alias("within"), F.min(end).alias("lo"), F.max(end).alias("hi"),
+    ).first()
+    if s["used"] < 2:
         return []
-    f, d1, d2, _ = anova(used)
-    whole = df.agg(F.var_samp(number(df, target)).alias("s2"), F.avg(number(df, target)).alias("m"), F.count("*").alias("n")).first()
+    f, d1, d2 = None, s["k"] - 1, (s["n"] or 0) - s["k"]
+    if s["k"] >= 2 and d2 > 0:
+        between = s["s2"] - s["s1"] ** 2 / s["n"]  # around the mean of the groups used
+        f = (between / d1) / (s["within"] / d2) if s["within"] else math.inf
     grand = whole["s2"] * (whole["n"] - 1) if whole["s2"] is not None else 0
-    between = sum(g["n"] * (g["m"] - whole["m"]) ** 2 for g in used if g["n"])
-    ends = sorted((g for g in groups if g["m"] is not None), key=lambda g: (g["m"], g["g"]))
-    note = f"{ends[0]['g']} to {ends[-1]['g']}"
-    return [(x, "anova", math.sqrt(between / grand) if grand else None, f_upper(spark, f, d1, d2), ends[0]["m"], ends[-1]["m"], note)]
+    note = f"{s['lo']['g']} to {s['hi']['g']}"
+    return [(x, "anova", math.sqrt(s["s2"] / grand) if grand else None, f_upper(spark, f, d1, d2), s["lo"]["m"], s["hi"]["m"], note)]

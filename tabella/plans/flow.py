@@ -337,12 +337,22 @@ cu AS (SELECT CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(c_custkey AS VARCHA
 
 @query(
     "join_tables",
-    f"""WITH {SIDES_SQL} SELECT o.o_orderkey, o.cust, o.amount, cu.k AS c_custkey, cu.amount AS amount_2 FROM o FULL JOIN cu ON o.cust IS NOT DISTINCT FROM cu.k WHERE o.cust IS NOT NULL OR cu.k IS NOT NULL""",
+    f"""WITH {SIDES_SQL} SELECT o.o_orderkey, o.cust, o.amount, cu.k AS c_custkey, cu.amount AS amount_2 FROM o FULL JOIN cu ON o.cust = cu.k""",
 )
 def _(spark, d):
     o, cu = _sides(spark, d)
-    out = joins.join_tables(o, cu, ["cust"], ["c_custkey"], "outer")
-    return out.where("cust is not null or c_custkey is not null")
+    return joins.join_tables(o, cu, ["cust"], ["c_custkey"], "outer")
+
+
+@query(
+    "join_tables_match_missing",
+    """WITH r AS (SELECT nullif(n_regionkey, 2) AS k, n_name FROM nation), s AS (SELECT nullif(r_regionkey, 2) AS k, r_name FROM region)
+       SELECT CAST(r.k AS VARCHAR) AS k, n_name, r_name FROM r LEFT JOIN s ON r.k IS NOT DISTINCT FROM s.k""",
+)
+def _(spark, d):
+    left = load(spark, d, "nation").selectExpr("nullif(n_regionkey, 2) AS k", "n_name")
+    right = load(spark, d, "region").selectExpr("nullif(r_regionkey, 2) AS k", "r_name")
+    return joins.join_tables(left, right, ["k"], ["k"], match_missing=True)
 
 
 @query(
@@ -356,7 +366,7 @@ def _(spark, d):
 
 @query(
     "join_report",
-    f"""WITH {SIDES_SQL}, j AS (SELECT o.o_orderkey IS NOT NULL AS l, cu.amount IS NOT NULL AS r FROM o FULL JOIN cu ON o.cust IS NOT DISTINCT FROM cu.k)
+    f"""WITH {SIDES_SQL}, j AS (SELECT o.o_orderkey IS NOT NULL AS l, cu.amount IS NOT NULL AS r FROM o FULL JOIN cu ON o.cust = cu.k)
       SELECT (SELECT count(*) FROM o) AS left_rows, (SELECT count(*) FROM cu) AS right_rows, count(*) AS result_rows, count(*) FILTER (l AND r) AS matched,
       count(*) FILTER (l AND NOT r) AS left_only, count(*) FILTER (r AND NOT l) AS right_only,
       (SELECT count(*) FROM cu) - (SELECT count(*) FROM (SELECT DISTINCT k FROM cu)) AS duplicate_right_keys FROM j""",

@@ -45,7 +45,7 @@ def _(spark, d):
     from pyspark.ml.functions import vector_to_array
 
     df = load(spark, d, "lineitem")
-    out = models.TablePrep(["l_quantity"], ["l_returnflag"]).fit(df).transform(df)
+    out = models.table_prep(df, ["l_quantity"], ["l_returnflag"])(df)
     v = vector_to_array("features")
     return out.select("l_orderkey", "l_linenumber", F.round(v[0], 6).alias("f0"), v[1].alias("f1"))
 
@@ -58,7 +58,7 @@ def _(spark, d):
     from pyspark.ml.functions import vector_to_array
 
     df = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_linestatus")
-    out, *_ = models.cluster_features(df, {"l_quantity": "numeric", "l_linestatus": "categorical"}, categories=True)
+    out = models.cluster_features(df, {"l_quantity": "numeric", "l_linestatus": "categorical"}, categories=True).table
     v = vector_to_array("features")
     return out.select("l_orderkey", "l_linenumber", F.round(v[0], 6).alias("f0"), F.round(v[1], 6).alias("f1"))
 
@@ -136,12 +136,17 @@ def _(spark, d):
     return models.compare_classifiers(_orders(spark, d), "o_orderstatus", ["o_totalprice", "month", "customer"], trees=5, folds=0)
 
 
-@query("knn_predict")
+@query(
+    "knn_predict",
+    """WITH o AS (SELECT o_orderkey, o_totalprice AS p, month(o_orderdate)::DOUBLE AS m, sqrt(o_totalprice) * 3 + month(o_orderdate) * 10 AS cost, o_orderkey % 10 >= 7 AS asked FROM orders),
+       s AS (SELECT avg(p) AS ap, stddev_pop(p) AS sp, avg(m) AS am, stddev_pop(m) AS sm FROM o WHERE NOT asked), t AS (SELECT o_orderkey, (p - ap) / sp AS a, (m - am) / sm AS b, cost, asked FROM o, s)
+       SELECT q.o_orderkey, round(list_avg(min_by(t.cost, (q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b), 5)), 6) AS prediction FROM t q JOIN t ON q.asked AND NOT t.asked GROUP BY 1""",
+)
 def _(spark, d):
-    from tabella.operators.prepare import train_test_split
-
-    train, test = train_test_split(_orders(spark, d), ["o_orderkey"], 0.3)
-    return models.knn_predict(train, test, "o_orderkey", "cost", ["o_totalprice", "month"], classify=False)
+    o = _orders(spark, d)
+    asked = F.col("o_orderkey") % 10 >= 7
+    out = models.knn_predict(o.where(~asked), o.where(asked), "o_orderkey", "cost", ["o_totalprice", "month"], classify=False)
+    return out.withColumn("prediction", F.round("prediction", 6))
 
 
 # ------------------------------------------------------------------ clusters and anomalies

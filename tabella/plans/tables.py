@@ -236,7 +236,7 @@ def _(spark, d):
     "summarize_table",
     " UNION ALL ".join(
         f"""SELECT '{x}' AS column_name, '{t}' AS stored_as, count(*) AS rows, 0e0 AS missing_pct, count(DISTINCT {x}) AS distinct_values,
-        substr({lo}, 1, 24) AS min_value, substr({hi}, 1, 24) AS max_value, {m} AS mean FROM orders"""
+        {lo} AS min_value, {hi} AS max_value, {m} AS mean FROM orders"""
         for x, t, lo, hi, m in [
             ("o_orderkey", "bigint", "min(o_orderkey)::VARCHAR", "max(o_orderkey)::VARCHAR", "round(avg(o_orderkey), 2)"),
             ("o_orderstatus", "string", "min(o_orderstatus)", "max(o_orderstatus)", "NULL::DOUBLE"),

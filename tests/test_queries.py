@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import database, difference
+from tabella.plans import registry
 
 DATA = "/root/testdata/sf0.01"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+registry.load_all()
+QUERIES, SQL = registry.QUERIES, registry.SQL
 
 
 @pytest.fixture(scope="module")
@@ -35,5 +37,5 @@ def test_entry_runs(spark):
 
 
 def test_names():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
     assert not [n for n in QUERIES if n == "pipeline" or n.startswith("op")]
