@@ -27,6 +27,13 @@ def _(spark, d):
     return files.read_delimited(spark, path)
 
 
+@query("read_delimited_line_breaks", "SELECT p_partkey, p_brand || chr(10) || 'size \"' || p_size || '\", ' || p_type AS note FROM part")
+def _(spark, d):
+    note = F.concat(F.col("p_brand"), F.lit('\nsize "'), F.col("p_size"), F.lit('", '), F.col("p_type"))
+    path = sinks.write_csv(load(spark, d, "part").select("p_partkey", note.alias("note")), new_path(spark, "breaks"))
+    return files.read_delimited(spark, path)
+
+
 @query("detect_header", "SELECT s_suppkey AS column_1, s_nationkey AS column_2, s_acctbal AS column_3 FROM supplier")
 def _(spark, d):
     path = new_path(spark, "noheader")

@@ -83,6 +83,30 @@ def _(spark, d):
     return df.select("order_id", day_text("order_date"), day_text("us_date"))
 
 
+# One spelling for each order, dealt by key: (DuckDB format, Spark format).
+SPELLINGS = [
+    ("%Y-%m-%d", "yyyy-MM-dd"), ("%-m/%-d/%Y", "M/d/yyyy"), ("%Y-%m-%d %H:%M", "yyyy-MM-dd HH:mm"), ("%Y-%m-%dT%H:%M:%SZ", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+    ("%b %-d, %Y", "MMM d, yyyy"), ("%d-%b-%Y", "dd-MMM-yyyy"), ("%d.%m.%Y", "dd.MM.yyyy"), ("%Y%m%d", "yyyyMMdd"), ("%-m/%-d/%Y %H:%M", "M/d/yyyy HH:mm"),
+    ("%Y/%m/%d", "yyyy/MM/dd"), ("%B %-d, %Y", "MMMM d, yyyy"),
+]
+
+
+@query(
+    "parse_dates_spellings",
+    "WITH o AS (SELECT o_orderkey, o_orderdate, CASE o_orderkey % "
+    + str(len(SPELLINGS))
+    + " "
+    + " ".join(f"WHEN {i} THEN strptime(strftime(o_orderdate, '{a}'), '{a}')" for i, (a, _) in enumerate(SPELLINGS))
+    + " END AS d FROM orders) SELECT o_orderkey, strftime(d, '%Y-%m-%d %H:%M') AS parsed FROM o",
+)
+def _(spark, d):
+    written = F.lit(None).cast("string")
+    for i, (_, form) in enumerate(SPELLINGS):
+        written = F.when(F.col("o_orderkey") % len(SPELLINGS) == i, F.date_format("o_orderdate", form)).otherwise(written)
+    df = clean.parse_dates(load(spark, d, "orders").select("o_orderkey", written.alias("parsed")), ["parsed"])
+    return df.select("o_orderkey", F.date_format("parsed", "yyyy-MM-dd HH:mm").alias("parsed"))
+
+
 GAP_OUT = "o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority"
 
 
@@ -131,6 +155,16 @@ def _(spark, d):
     return _gap_out(clean.fill_forward(gap_orders(spark, d), GAP_PROFILE, tie="o_orderkey"))
 
 
+@query(
+    "fill_forward_text",
+    f"""WITH {GAPS_SQL}, g AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, price FROM gaps)
+     SELECT o_orderkey, day, last_value(price IGNORE NULLS) OVER (ORDER BY day, o_orderkey ROWS UNBOUNDED PRECEDING) AS price FROM g""",
+)
+def _(spark, d):
+    df = gap_orders(spark, d).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "price")
+    return clean.fill_column(df, "price", "forward", "day", "o_orderkey")
+
+
 @query("fill_drop_rows", f"WITH {GAPS_SQL} SELECT {GAP_OUT}, price, status FROM gaps WHERE price IS NOT NULL AND status IS NOT NULL")
 def _(spark, d):
     return _gap_out(clean.fill_drop_rows(gap_orders(spark, d), GAP_PROFILE))

@@ -85,10 +85,10 @@ def test_group_keeps_missing_keys(spark):
 def test_join_matches_missing_keys(spark):
     a = spark.createDataFrame([("1 ", "p"), (None, "q"), ("3", "r")], "k string, v string")
     b = spark.createDataFrame([(1.0, "s"), (None, "t"), (1.0, "u")], "k double, v string")
-    out = joins.join_tables(a, b, ["k"], ["k"], "outer")
+    out = joins.join_tables(a, b, ["k"], ["k"], "outer", match_missing=True)
     assert out.columns == ["k", "v", "v_2"]
     assert sorted(map(str, rows(out))) == sorted(map(str, [("1", "p", "s"), ("1", "p", "u"), (None, "q", "t"), ("3", "r", None)]))
-    info = joins.join_report(a, b, ["k"], ["k"]).first()
+    info = joins.join_report(a, b, ["k"], ["k"], match_missing=True).first()
     assert (info["matched"], info["left_only"], info["right_only"], info["duplicate_right_keys"]) == (3, 1, 0, 1)
 
 
@@ -308,3 +308,63 @@ def test_knn_exact(spark):
 def test_auc_with_ties(spark):
     df = spark.createDataFrame([("p", 0.9), ("p", 0.5), ("n", 0.5), ("n", 0.1)], "y string, s double")
     assert models.roc_auc(df, "y", "s", "p") == pytest.approx(0.875)
+
+
+@pytest.mark.parametrize(
+    "written",
+    ["1/5/2024", "2024-1-5", "2024-01-05 10:11", "2024-01-05 10:11:12.345", "2024-01-05T10:11:12Z", "Jan 5, 2024", "05-Jan-2024", "1/5/2024 13:00", "5.1.2024", "20240105", "January 5, 2024", "1/5/2024 1:00 PM"],
+)
+def test_common_date_spellings(spark, written):
+    df = clean.parse_dates(spark.createDataFrame([(written,)], "d string"), ["d"])
+    assert str(df.first()["d"])[:10] == "2024-01-05"
+
+
+def test_numbers_and_words_are_no_dates(spark):
+    df = clean.parse_dates(spark.createDataFrame([("2024",), ("12",), ("soon",), ("2024-13-01",), ("",)], "d string"), ["d"])
+    assert {r["d"] for r in df.collect()} == {None}
+
+
+def test_safe_columns_never_repeat(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], ["a b", "a-b", "a_b_2", "A B"])
+    names = wrangle.safe_columns(df).columns
+    assert len({n.lower() for n in names}) == 4 and names[0] == "a_b"
+
+
+def test_missing_keys_have_no_partner_unless_asked(spark):
+    a = spark.createDataFrame([(None, 1), ("x", 2)], "k string, a int")
+    b = spark.createDataFrame([(None, 7), (None, 8), ("x", 9)], "k string, b int")
+    assert sorted(rows(joins.join_tables(a, b, ["k"], ["k"]).select("a", "b")), key=str) == [(1, None), (2, 9)]
+    assert sorted(rows(joins.join_tables(a, b, ["k"], ["k"], match_missing=True).select("a", "b"))) == [(1, 7), (1, 8), (2, 9)]
+    assert joins.join_report(a, b, ["k"], ["k"]).first()["result_rows"] == 2
+    assert joins.join_report(a, b, ["k"], ["k"], match_missing=True).first()["result_rows"] == 3
+
+
+def test_many_levels_are_kept(spark):
+    df = spark.createDataFrame([(float(i), f"v{i % 60:02d}") for i in range(600)], "n double, c string")
+    kinds = {"n": "numeric", "c": "categorical"}
+    made = models.cluster_features(df, kinds, categories=True)
+    assert made.categories == ["c"] and made.table.first()["features"].size == 61
+    out, names, skipped = models.encode_features(df, "n", ["c"], kinds)
+    assert names == ["c"] and not skipped and out.select("c").distinct().count() == 60
+    assert models.table_prep(df, ["n"], ["c"])(df).first()["features"].size == 61
+    assert stats.drivers(df, "n", ["c"], kinds).count() == 1
+
+
+def test_knn_is_exact_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(models, "KNN_CELL", 40)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((700, 2))
+    x[:250, 0] = 1.0  # a hot strip
+    y = rng.standard_normal(700)
+    df = spark.createDataFrame([(i, float(a), float(b), float(v)) for i, ((a, b), v) in enumerate(zip(x, y))], "id long, a double, b double, y double")
+    got = dict(rows(models.knn_predict(df.where("id % 3 <> 0"), df.where("id % 3 = 0"), "id", "y", ["a", "b"], False)))
+    known = np.array([i % 3 != 0 for i in range(700)])
+    z = (x - x[known].mean(axis=0)) / x[known].std(axis=0)
+    for i in np.flatnonzero(~known):
+        near = np.argsort(((z[known] - z[i]) ** 2).sum(axis=1))[:5]
+        assert got[i] == pytest.approx(y[known][near].mean())
+
+
+def test_distinct_rows_tell_gaps_apart(spark):
+    df = spark.createDataFrame([("a", None), (None, "a"), ("a", None), (None, None)], "x string, y string")
+    assert quality.distinct_rows(df) == 3
