@@ -15,6 +15,7 @@ from tabella.operators.profile import wide_agg
 from tabella.operators.stats import k_squared
 
 GRID = 200
+REACH = 8
 
 
 def histogram_bins(df: DataFrame, col: str, bins: int = 20, by: str | None = None) -> DataFrame:
@@ -56,8 +57,8 @@ def mean_by_x(df: DataFrame, x: str, y: str) -> DataFrame:
 def density_grid(df: DataFrame, col: str, points: int = GRID) -> DataFrame:
     """Gaussian kernel density on a grid, beside the normal curve of the same mean and spread.
 
-    Rows are collapsed to (value, count) first; each distinct value then adds its
-    kernel to the grid points, summed before the shuffle.
+    Rows are collapsed to (value, count) first; each distinct value then adds its kernel to the grid points
+    within ``REACH`` bandwidths (beyond them it is below 1e-14 of its height), summed before the shuffle.
     """
     d = df.select(number(df, col).alias("v")).dropna()
     a = d.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s")).first()
@@ -69,7 +70,12 @@ def density_grid(df: DataFrame, col: str, points: int = GRID) -> DataFrame:
     z = (x - F.col("v")) / F.lit(width)
     kernel = F.col("n") * F.exp(-0.5 * z * z)
     counted = d.groupBy("v").agg(F.count("*").alias("n"))
-    out = counted.select("v", "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")).groupBy("point").agg(F.sum(kernel).alias("k"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("v") - F.lit(REACH * width + a["lo"])) / F.lit(step))).cast("int")
+    last = F.least(F.lit(points - 1), F.floor((F.col("v") + F.lit(REACH * width - a["lo"])) / F.lit(step))).cast("int")
+    near = counted.withColumns({"first": first, "last": last}).where("first <= last")
+    sums = near.select("v", "n", F.explode(F.sequence("first", "last")).alias("point")).groupBy("point").agg(F.sum(kernel).alias("k"))
+    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
+    out = grid.join(sums, "point", "left").fillna(0.0, subset=["k"])
     unit = math.sqrt(2 * math.pi)
     t = (x - F.lit(a["m"])) / F.lit(a["s"])
     return out.select(

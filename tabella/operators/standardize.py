@@ -172,15 +172,17 @@ def _index(work: DataFrame, quality: DataFrame | None, combine: str) -> DataFram
     """One value per period from the series' means of unflagged readings."""
     per = work.where(~F.col("flag_outlier") & F.col("robust_z").isNotNull()).groupBy("_period", "series").agg(F.avg("robust_z").alias("z"))
     sources = F.count("*").alias("sources")
+    middle = quality is not None or combine == "median"
+    if middle:
+        per = join_keys(per, group_quantiles(per, ["_period"], "z", {"_middle": 0.5}), ["_period"])
     if quality is not None:
         per = join_keys(per, quality.select("series", "weight"), ["series"]).fillna(0.0, subset=["weight"])
         weighted = F.try_divide(F.sum(F.col("z") * F.col("weight")), F.sum("weight"))
-        value = F.coalesce(F.when(F.sum("weight") > 0, weighted), F.median("z"))
+        value = F.coalesce(F.when(F.sum("weight") > 0, weighted), F.max("_middle"))
     elif combine == "median":
-        value = F.median("z")
+        value = F.max("_middle")
     else:
         value = F.avg("z")
-    # At most one row per series and period here, so the median's buffer stays small.
     return per.groupBy(F.col("_period").alias("period")).agg(F.round(value, 3).alias("index"), sources).orderBy("period")
 
 

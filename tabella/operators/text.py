@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tabella.functions.ordering import top_rows
 from tabella.functions.scalar import c
 from tabella.operators.stats import spearman
 from tabella.session import widen
@@ -125,8 +126,10 @@ def words_by_sentiment(df: DataFrame, col: str, sentiment: str = "sentiment", to
     """The most common words of positive and of negative texts."""
     one = _kept_words(df.where(c(sentiment).isin("Positive", "Negative")), col, [sentiment])
     counts = one.groupBy(c(sentiment), "word").agg(F.count("*").alias("count"))
-    place = F.row_number().over(Window.partitionBy(c(sentiment)).orderBy(F.desc("count"), "word"))
-    return counts.withColumn("place", place).where(F.col("place") <= top)
+    order = [F.desc("count"), F.col("word")]
+    # Two groups hold the whole vocabulary: each is thinned in many tasks before its few rows are numbered.
+    few = top_rows(counts, [sentiment], order, top)
+    return few.withColumn("place", F.row_number().over(Window.partitionBy(c(sentiment)).orderBy(*order)))
 
 
 def score_vs_rating(df: DataFrame, score: str, rating: str) -> DataFrame:
