@@ -108,10 +108,17 @@ def _(spark, d):
     return prepare.map_to_gaussian(df, ["l_quantity", "l_extendedprice", "l_discount"])[1]
 
 
-@query("train_test_split")
+@query("train_test_split", "SELECT o_orderkey, 1 AS parts, true AS same_again, true AS share_close FROM orders")
 def _(spark, d):
-    train, test = prepare.train_test_split(load(spark, d, "orders"), ["o_orderkey"], 0.3)
-    return train.select("o_orderkey", F.lit("train").alias("part")).unionByName(test.select("o_orderkey", F.lit("test").alias("part")))
+    """Every row is in one part, the same one when the table is dealt anew, and the test part has about its share."""
+    o = load(spark, d, "orders")
+    part = lambda df, name: [x.select("o_orderkey", F.lit(i).alias(name)) for i, x in enumerate(prepare.train_test_split(df, ["o_orderkey"], 0.3))]
+    both = part(o, "p")[0].unionByName(part(o, "p")[1])
+    again = part(o.repartition(3), "q")[0].unionByName(part(o.repartition(3), "q")[1])
+    share = both.agg(F.avg("p").alias("share"), F.count("*").alias("n")).first()
+    close = abs(share["share"] - 0.3) <= 6 * (0.21 / share["n"]) ** 0.5
+    rows = both.join(again, "o_orderkey").groupBy("o_orderkey")
+    return rows.agg(F.count("*").cast("int").alias("parts"), F.bool_and(F.col("p") == F.col("q")).alias("same_again")).withColumn("share_close", F.lit(close))
 
 
 @query(
@@ -123,10 +130,16 @@ def _(spark, d):
     return prepare.pca(load(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], 2)[0]
 
 
-@query("pca_scores")
+@query(
+    "pca_scores",
+    """WITH s AS (SELECT l_orderkey, l_linenumber, (l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER () AS a, (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_samp(l_extendedprice) OVER () AS b,
+       (SELECT corr(l_quantity, l_extendedprice) FROM lineitem) AS r FROM lineitem)
+       SELECT l_orderkey, l_linenumber, round(abs(CASE WHEN r >= 0 THEN a + b ELSE a - b END) / sqrt(2), 4) AS first_size, round(abs(CASE WHEN r >= 0 THEN a - b ELSE a + b END) / sqrt(2), 4) AS second_size FROM s""",
+)
 def _(spark, d):
-    df = load(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return prepare.pca(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 2)[2]
+    df = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    scores = prepare.pca(df, ["l_quantity", "l_extendedprice"], 2)[2]
+    return scores.select("l_orderkey", "l_linenumber", F.round(F.abs("PC1"), 4).alias("first_size"), F.round(F.abs("PC2"), 4).alias("second_size"))
 
 
 # ------------------------------------------------------------------ chart tables

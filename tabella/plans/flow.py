@@ -78,9 +78,20 @@ def _(spark, d):
     return files.count_rows(load(spark, d, "lineitem"))
 
 
-@query("reservoir_sample")
+@query(
+    "reservoir_sample",
+    "SELECT least(count(*), 1000) AS rows, least(count(*), 1000) AS different_keys, 0 AS strange_rows, true AS same_again, true AS follows_the_table FROM orders",
+)
 def _(spark, d):
-    return files.reservoir_sample(load(spark, d, "orders"), 1000)
+    """The sample's size, that its rows are the table's, that it repeats, and that its mean lies within six standard errors."""
+    o = load(spark, d, "orders")
+    got = files.reservoir_sample(o, 1000)
+    again = files.reservoir_sample(o.repartition(3), 1000)
+    whole = o.agg(F.avg("o_totalprice").alias("m"), F.stddev_pop("o_totalprice").alias("s")).first()
+    strange = got.join(o, o.columns, "left_anti").count()
+    same = got.select("o_orderkey").exceptAll(again.select("o_orderkey")).isEmpty()
+    close = F.abs(F.avg("o_totalprice") - F.lit(whole["m"])) <= F.lit(6 * whole["s"]) / F.sqrt(F.count("*"))
+    return got.agg(F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("different_keys"), F.lit(strange).alias("strange_rows"), F.lit(same).alias("same_again"), close.alias("follows_the_table"))
 
 
 @query(
@@ -196,9 +207,15 @@ def _(spark, d):
     return spark.read.parquet(sinks.write_parquet(df, new_path(spark, "out"), "gzip"))
 
 
-@query("codec_sizes")
+@query(
+    "codec_sizes",
+    "SELECT format, codec, count(*) > 0 AS has_size, format = 'CSV' OR count(*) < 100 AS as_large_as_csv FROM orders, (VALUES ('CSV', 'none'), "
+    + ", ".join(f"('Parquet', '{x}')" for x in sinks.CODECS)
+    + ") f(format, codec) GROUP BY 1, 2",
+)
 def _(spark, d):
-    return sinks.codec_sizes(load(spark, d, "orders"))
+    sizes = sinks.codec_sizes(load(spark, d, "orders"))
+    return sizes.select("format", "codec", (F.col("size_kb") > 0).alias("has_size"), (F.col("pct_of_csv") >= 100).alias("as_large_as_csv"))
 
 
 @query(
@@ -278,9 +295,16 @@ def _(spark, d):
     return quality.contract_table(df, profile.profile_columns(df))
 
 
-@query("fingerprint")
+@query("fingerprint", "SELECT count(*) AS row_count, true AS same_in_any_order, true AS other_after_an_edit, true AS other_after_a_rename FROM lineitem")
 def _(spark, d):
-    return quality.fingerprint(load(spark, d, "lineitem"))
+    """The code stays when rows move, and changes with one cell or one name."""
+    li = load(spark, d, "lineitem")
+    first = li.agg(F.min("l_orderkey")).first()[0]
+    edited = li.withColumn("l_quantity", F.col("l_quantity") + ((F.col("l_orderkey") == first) & (F.col("l_linenumber") == 1)).cast("int"))
+    code = lambda df: quality.fingerprint(df).first()["fingerprint"]
+    moved, other, renamed = code(li.repartition(5, "l_tax")), code(edited), code(li.withColumnRenamed("l_tax", "tax"))
+    mark = F.col("fingerprint")
+    return quality.fingerprint(li).select("row_count", (mark == moved).alias("same_in_any_order"), (mark != other).alias("other_after_an_edit"), (mark != renamed).alias("other_after_a_rename"))
 
 
 # ------------------------------------------------------------------ personal data
@@ -441,10 +465,15 @@ def _(spark, d):
     return layers.lineage_table({"bronze": raw, "silver": done.table, "gold": gold}, "orders", len(done.steps), ["remark"], ["status"])
 
 
-@query("reproducibility_record")
+@query(
+    "reproducibility_record",
+    f"""WITH {CLEAN_SQL} SELECT 'orders' AS source, (SELECT count(*) FROM loaded) AS input_rows, 9 AS input_columns, 64 AS code_length, '{{"missing": "automatic"}}' AS settings,
+       (SELECT count(*) FROM cleaned) AS output_rows""",
+)
 def _(spark, d):
     raw = loaded_orders(spark, d)
-    return layers.reproducibility_record(raw, clean_table(raw), "orders", {"missing": "automatic"})
+    made = layers.reproducibility_record(raw, clean_table(raw), "orders", {"missing": "automatic"})
+    return made.select("source", "input_rows", "input_columns", F.length("input_fingerprint").alias("code_length"), "settings", "output_rows")
 
 
 @query(
