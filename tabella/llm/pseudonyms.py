@@ -28,10 +28,18 @@ PATTERNS = {
     "ip": re.compile(rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)", re.A),
     "card": re.compile(r"(?<!\d)(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?!\d)", re.A),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.A),
-    "phone": re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)", re.A),
+    "phone": re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+])\+\d{1,3}[ .-]\d(?:[ .-]\d{2,4}){2,4}(?!\d)", re.A),
     "date": re.compile(r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([/.])\d{1,2}\1\d{4})(?![\d/-]|\.\d)", re.A),
 }
 _ANY = re.compile(r"[0-9@]")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27,
+    "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18,
+    "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 _FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 
@@ -116,10 +124,17 @@ def _card(text, move):
     digits = re.sub(r"\D", "", text)
     if luhn(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
         return None
-    body = str(move(int(digits[:-1]), 10 ** (len(digits) - 1), "card")).zfill(len(digits) - 1)
-    if len(set(body + str(luhn(body)))) == 1:  # the few one-digit cards are no valid value; step over them
-        body = str(move(int(body), 10 ** (len(digits) - 1), "card")).zfill(len(digits) - 1)
-    return _refill(text, body + str(luhn(body)))
+    new = digits
+    while True:
+        body = str(move(int(new[:-1]), 10 ** (len(digits) - 1), "card")).zfill(len(digits) - 1)
+        new = body + str(luhn(body))
+        # One-digit cards are no valid value, and a long card must not begin to hold a short one, or stop to: step over those.
+        if len(set(new)) > 1 and _holds_short(new) == _holds_short(digits):
+            return _refill(text, new)
+
+
+def _holds_short(digits):
+    return len(digits) > 16 and luhn(digits[:15]) == int(digits[15])
 
 
 def _ssn(text, move):
@@ -197,10 +212,30 @@ def _date(text, move):
 _MAKE = {"email": _email, "iban": _iban, "ip": _ip, "card": _card, "ssn": _ssn, "phone": _phone, "date": _date}
 
 
+def _ends(kind: str, m: re.Match) -> Iterator[int]:
+    """Where a match may end, by the order in which it is tried; the words behind a value can look like its last group.
+
+    A card of four fours is tried without a tail and an IBAN at the length of its country before the whole match, since
+    these readings don't depend on what follows: the pseudonym is then read as the value was. Phones lose groups from the end.
+    """
+    text = m[0]
+    if kind == "card" and m[1] and len(text) > 19:
+        yield m.start() + 19
+    elif kind == "iban" and text[:2] in IBAN_LENGTHS:
+        at = [i for i, c in enumerate(text, 1) if c != " "][IBAN_LENGTHS[text[:2]] - 1 :]
+        if len(at) > 1 and text[at[0]] == " ":
+            yield m.start() + at[0]
+    yield m.end()
+    if kind == "phone":
+        yield from (m.start() + g.start() for g in reversed(list(re.finditer(r"[ .-]", text))))
+
+
 def replace(text: str, permutation: Permutation, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with every valid value replaced, and the (kind, start, end) of each in the original text.
 
-    Kinds come in the order of ``KINDS``; a place taken by an earlier kind is not read again.
+    Kinds come in the order of ``KINDS``; a place taken by an earlier kind is not read again. Where no reading of a match is
+    valid, the search goes on behind its first character. A pseudonym with which a reading refused before would become valid
+    (digits just in front of a card, one case in ten) is permuted again, so that it can be undone.
     """
     if not _ANY.search(text):
         return text, []
@@ -208,10 +243,21 @@ def replace(text: str, permutation: Permutation, back: bool = False) -> tuple[st
     found: list[tuple[int, int, str, str]] = []
     rest = text  # with the places that are taken blotted out
     for kind in KINDS:
-        for m in PATTERNS[kind].finditer(rest):
-            new = _MAKE[kind](m[0], move)
-            if new is not None:
-                found.append((m.start(), m.end(), kind, new))
+        make, at = _MAKE[kind], 0
+        refused: list[tuple[int, int]] = []
+        while m := PATTERNS[kind].search(rest, at):
+            start, at = m.start(), m.start() + 1
+            for end in _ends(kind, m):
+                new = make(rest[start:end], move)
+                if new is None:
+                    refused.append((start, end))
+                    continue
+                near = [(a, b) for a, b in refused if b > start]
+                while any(make((rest[a:start] + new + rest[end:b])[: b - a], move) is not None for a, b in near):
+                    new = make(new, move)
+                found.append((start, end, kind, new))
+                refused, at = [], end
+                break
         for start, end, was, _ in found:
             if was == kind:
                 rest = rest[:start] + "\0" * (end - start) + rest[end:]

@@ -280,6 +280,31 @@ def test_values_stay_valid_linked_and_reversible():
     assert new != iban and pseudonyms._mod97(new.replace(" ", "")[4:] + new[:4]) == 1 and pseudonyms.replace(new, p, back=True)[0] == iban
 
 
+def test_values_with_other_words_around_them():
+    """What follows or precedes a value may look like a group of it; pseudonyms stay linked and can be undone."""
+    p = pseudonyms.Permutation(b"key")
+    rng = random.Random(5)
+    iban = lambda country, body: f"{country}{98 - pseudonyms._mod97(body + country + '00'):02d}{body}"
+    fours = lambda v: " ".join(v[i : i + 4] for i in range(0, len(v), 4))
+    cases = []
+    for _ in range(300):
+        card = fours(a_card(rng))
+        cases += [(card, "", tail) for tail in (" 12/25", f" {rng.randint(100, 999)}", " 5 items")] + [(card.replace(" ", "-"), "", "-123")]
+        at, be, es = iban("AT", f"{rng.randrange(10**16):016d}"), iban("BE", f"{rng.randrange(10**12):012d}"), iban("ES", f"{rng.randrange(10**20):020d}")
+        cases += [(at, "", " BIC"), (at, "IBAN ", " BANK BIC"), (fours(be), "", " EUR 500"), (fours(es), "", " BIC")]
+        cases += [(f"+33 1 {rng.randint(10, 99)} 45 67 89", "", ""), (f"+61 4 {rng.randint(1000, 9999)} 5678", "", ";"), (f"+49 301 2345 {rng.randint(1000, 9999)}", "", " 0123")]
+    for value, before, after in cases:
+        text = f"x {before}{value}{after}"
+        new, spans = pseudonyms.replace(text, p)
+        assert [text[s:e] for _, s, e in spans] == [value] and value not in new
+        assert new == f"x {before}{pseudonyms.replace(value, p)[0]}{after}"
+        assert pseudonyms.replace(new, p, back=True)[0] == text
+    for _ in range(300):  # a group in front
+        for word, value in ((rng.choice(["2021", "1999"]), fours(a_card(rng))), ("AB12", fours(iban("ES", f"{rng.randrange(10**20):020d}")))):
+            new, spans = pseudonyms.replace(f"{word} {value}", p)
+            assert spans and value not in new and pseudonyms.replace(new, p, back=True)[0] == f"{word} {value}"
+
+
 def test_invalid_values_stay():
     p = pseudonyms.Permutation(b"key")
     for text in ("", "no numbers", "4111111111111112 is no card", "2023-02-30", "300.1.1.1", "000-12-3456", "version 1.2.3", "year 2020"):
