@@ -1,24 +1,34 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The documents of a source are dealt into blocks. With weight w, block j of a source is released at slot floor(j / w) and due
-at ceil((j + 1) / w); every slot runs the released block with the earliest deadline. After any number of slots each source
-has had its share to within less than one block. Weights are whole parts of ``period`` slots, so the schedule repeats: only
-one period is worked out on the driver (``period`` slots, whatever the size of the data), and every block finds its slot by
-arithmetic. Where a source runs out, a new phase begins with the weights of those left, scaled up.
+The documents of a source are dealt into blocks. Picture all sources being read at once, each at its share of the weights of
+those that still have documents: block j of a source is then read between two times that follow exactly from the weights.
+Their floor is the block's release, their ceiling its deadline; every slot runs the released block with the earliest deadline.
+Each slot's worth of that reading goes to blocks whose windows hold the slot, so all deadlines are met, and after any number of
+slots each source has had its share to within less than one block. Weights are used as they are given, as exact fractions.
+
+The driver holds a few numbers a source and goes through the blocks once, a stretch of slots at a time; names, rows and the
+schedule stay in tables.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import accumulate, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabella.llm.common import pick, ranked, saved, spare
+from tabella.session import new_path
 
-MAX_SOURCES = 1_000
+#: Slots of the schedule that the driver holds at a time.
+STRETCH = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -32,6 +42,49 @@ class Phase:
     pattern: list[str]
 
 
+def slots(blocks: Sequence[int], weights: Sequence[float]) -> Iterator[tuple[int, int]]:
+    """(source, block) of each slot, sources by their place in ``blocks``, until all blocks have had theirs."""
+    exact = [Fraction(w) for w in weights]
+    whole = math.lcm(*(w.denominator for w in exact))
+    parts = [int(w * whole) for w in exact]
+    # In virtual time v, source s has read min(parts[s] * v, blocks[s]): it runs out at blocks[s] / parts[s].
+    out: dict[Fraction, tuple[int, int]] = {}
+    for n, w in zip(blocks, parts):
+        was = out.get(Fraction(n, w), (0, 0))
+        out[Fraction(n, w)] = was[0] + n, was[1] + w
+    ends = sorted(out)
+    near = [float(v) for v in ends]
+    gone = list(accumulate((out[v][0] for v in ends), initial=0))
+    rate = list(accumulate((-out[v][1] for v in ends), initial=sum(parts)))
+
+    def read(j: int, w: int) -> tuple[int, int]:
+        """All blocks read by the time that the first ``j`` of a source of weight ``w`` are: whole ones, and whether there is a rest."""
+        i = bisect_right(near, j / w)
+        while i < len(ends) and ends[i].numerator * w <= j * ends[i].denominator:
+            i += 1
+        while i and ends[i - 1].numerator * w > j * ends[i - 1].denominator:
+            i -= 1
+        n, rest = divmod(rate[i] * j, w)
+        return gone[i] + n, rest > 0
+
+    def due(j: int, w: int) -> int:
+        return sum(read(j + 1, w))
+
+    ready = [(due(0, w), -w, s, 0) for s, (n, w) in enumerate(zip(blocks, parts)) if n]
+    waiting: list[tuple[int, int, int]] = []
+    heapq.heapify(ready)
+    for slot in range(sum(blocks)):
+        while waiting and waiting[0][0] <= slot:
+            _, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (due(j, parts[s]), -parts[s], s, j))
+        last, _, s, j = heapq.heappop(ready)
+        if slot >= last:
+            raise AssertionError("a block missed its deadline")
+        yield s, j
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, (read(j + 1, parts[s])[0], s, j + 1))
+
+
 def whole_parts(weights: Mapping[str, float], period: int) -> dict[str, int]:
     """Weights as whole parts of the period by largest remainder, one part at least."""
     total = sum(weights.values())
@@ -72,7 +125,10 @@ def pfair(parts: Mapping[str, int]) -> list[str]:
 
 
 def plan(blocks: Mapping[str, int], weights: Mapping[str, float], period: int) -> list[Phase]:
-    """Phases until every source's blocks have had their slot; at most one phase a source, and a rest of single periods."""
+    """Phases until every source's blocks have had their slot; at most one phase a source, and a rest of single periods.
+
+    A schedule that repeats, for weights that are whole parts of a short period; ``mix`` takes exact weights from ``slots``.
+    """
     left = {s: n for s, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
     start, phases = 0, []
@@ -107,36 +163,35 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     Each row has exactly one position; none is dropped or repeated. Positions go by slot and, in a slot, through its block; a
     source's last block may leave positions free. Within a source rows come in an order fixed by a hash of the id (rows with
     equal ids in any order). A null source is a source of its own, named ``""`` as an empty one is.
-    More than ``MAX_SOURCES`` sources raise an error: the table of weights is kept on the driver.
+    Sources may be any in number. Weights aren't rounded, so ``period`` has no effect; it stays for callers that give it.
     """
-    rows = pick(docs, id=id, source=source).withColumn("source", F.coalesce("source", F.lit("")))
-    sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source").limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"More than {MAX_SOURCES} sources; merge small ones first.")
-    if weights is not None and any(w <= 0 for w in weights.values()):
+    if weights is not None and not all(0 < w < math.inf for w in weights.values()):
         raise ValueError("Target weights must be positive.")
-    target = {s: weights[s] for s in sizes if s in weights} if weights is not None else {s: n**smooth for s, n in sizes.items()}
-    blocks = {s: -(-n // block) for s, n in sizes.items()}
-    phases = plan({s: blocks[s] for s in target}, target, period)
-    rest = {s: blocks[s] for s in sizes if s not in target}
-    if rest:
-        end = phases[-1].start + phases[-1].slots if phases else 0
-        phases += [Phase(p.start + end, p.slots, p.first, p.counts, p.pattern) for p in plan(rest, rest, period)]
-    runs = []
-    for p in phases:
-        at: dict[str, list[int]] = {}
-        for slot, s in enumerate(p.pattern):
-            at.setdefault(s, []).append(slot)
-        runs += [(s, p.first[s], p.first[s] + n, p.start, len(p.pattern), at[s]) for s, n in p.counts.items()]
-    runs = docs.sparkSession.createDataFrame(runs, "of string, first long, last long, start long, period long, slots array<int>")
+    spark = docs.sparkSession
+    rows = pick(docs, id=id, source=source).withColumn("source", F.coalesce("source", F.lit("")))
+    sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    if weights is None:
+        sizes = sizes.withColumn("weight", F.pow("n", F.lit(float(smooth))))
+    else:
+        told = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "named string, weight double")
+        sizes = sizes.join(told, F.col("source") == F.col("named"), "left").drop("named")
+    sizes = saved(ranked(saved(sizes, "mix-sizes"), [], ["source"], "of"), "mix-sources")
+    numbers = sizes.select("of", F.ceil(F.col("n") / block).cast("long").alias("blocks"), "weight").toArrow().sort_by("of").to_pydict()
+    path, start = new_path(spark, "mix-schedule"), 0
+    spark.createDataFrame([], "of long, block long, slot long").write.parquet(path)
+    for named in (True, False):
+        here = [i for i, w in enumerate(numbers["weight"]) if (w is not None) == named]
+        blocks = [numbers["blocks"][i] for i in here]
+        turns = slots(blocks, [numbers["weight"][i] if named else numbers["blocks"][i] for i in here])
+        while stretch := list(islice(turns, STRETCH)):
+            table = pa.table({"of": pa.array([numbers["of"][here[s]] for s, _ in stretch], pa.int64()), "block": pa.array([j for _, j in stretch], pa.int64()), "slot": pa.array(range(start, start + len(stretch)), pa.int64())})
+            spark.createDataFrame(table).write.mode("append").parquet(path)
+            start += len(stretch)
+    schedule = spark.read.schema("of long, block long, slot long").parquet(path)
+    schedule = schedule.join(sizes.select("of", "source"), "of").select(F.col("source").alias("_source"), F.col("block").alias("_block"), "slot")
     placed = ranked(rows.withColumn("_mix", F.xxhash64("id")), ["source"], ["_mix", "id"], "rank")
     placed = placed.select("id", "source", "rank", F.floor(F.col("rank") / block).cast("long").alias("block"))
-    # One run holds each block. The table has a row for each source and phase and at most sources x period slots a phase.
-    inside = F.col("block") - F.col("first")
-    parts = F.size("slots")
-    slot = F.col("start") + F.floor(inside / parts) * F.col("period") + F.element_at("slots", (inside % parts + 1).cast("int"))
-    held = (F.col("source") == F.col("of")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("last"))
-    out = placed.join(F.broadcast(runs), held).withColumn("slot", slot.cast("long"))
+    out = placed.join(schedule, (F.col("source") == F.col("_source")) & (F.col("block") == F.col("_block")))
     return out.select("id", "source", "block", "slot", (F.col("slot") * block + F.col("rank") % block).cast("long").alias("position"))
 
 

@@ -1,5 +1,7 @@
 import random
 from bisect import bisect_left
+from fractions import Fraction
+from itertools import islice
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +42,52 @@ def test_each_row_has_one_place_and_prefixes_meet_the_target(spark):
     assert min(r["slot"] for r in got if r["source"] == "s4") > max(v for s, v in last.items() if s != "s4")
 
 
+def fluid(blocks, weights, k):
+    """What each source has had after k slots if all are read at once, those left by their share of the weights."""
+    had, t = dict.fromkeys(blocks, Fraction(0)), Fraction(0)
+    while t < k:
+        left = {s: Fraction(weights[s]) for s in blocks if had[s] < blocks[s]}
+        total = sum(left.values())
+        step = min(k - t, min((blocks[s] - had[s]) * total / w for s, w in left.items()))
+        had = {s: h + step * left[s] / total if s in left else h for s, h in had.items()}
+        t += step
+    return had
+
+
+def test_slots_meet_the_given_weights_to_within_a_block():
+    for seed in range(60):
+        rng = random.Random(seed)
+        blocks = [rng.randint(0, 60) for _ in range(rng.randint(1, 9))]
+        weights = [rng.choice([rng.random() + 0.01, 10 ** rng.uniform(-6, 6)]) for _ in blocks]
+        n = dict.fromkeys(range(len(blocks)), 0)
+        for k, (s, j) in enumerate(mixing.slots(blocks, weights), 1):
+            assert j == n[s]
+            n[s] += 1
+            if k % 7 == 0:
+                assert all(abs(n[q] - x) < 1 for q, x in fluid(dict(enumerate(blocks)), weights, k).items())
+        assert list(n.values()) == blocks
+
+
+def test_slots_do_not_drift_over_many_blocks():
+    blocks = [15_000, 9_000, 2_500, 1_500, 900, 600, 300, 200]
+    weights = [n**0.5 for n in blocks]
+    n = [0] * 8
+    for k, (s, _) in enumerate(mixing.slots(blocks, weights), 1):
+        n[s] += 1
+        if max(n[i] / blocks[i] for i in range(8)) < 0.99:
+            assert all(abs(c - k * w / sum(weights)) < 1 for c, w in zip(n, weights))
+    hot = [1_000_000 // 100] + [20] * 1_000  # more sources than a schedule in whole parts of 1,000 slots can tell apart
+    first = list(islice(mixing.slots(hot, [1_000_000**0.5] + [2_000**0.5] * 1_000), 10_000))
+    assert abs(sum(s == 0 for s, _ in first) - 10_000 * 1_000 / (1_000 + 1_000 * 2_000**0.5)) < 1
+
+
+def test_mixing_takes_any_number_of_sources(spark):
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 2500)).alias("source"))
+    got = mixing.mix(rows, block=2).collect()
+    assert len({r["position"] for r in got}) == len({r["id"] for r in got}) == 6000
+    assert sorted({r["slot"] for r in got}) == list(range(len({(r["source"], r["block"]) for r in got})))
+
+
 def test_mixing_odd_rows(messy, none, spark):
     got = mixing.mix(messy, block=2).collect()
     assert len(got) == messy.count() and len({r["position"] for r in got}) == len(got)
