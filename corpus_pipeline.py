@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabella.llm import mixing, neardup, packing, pseudonyms, toxicity
-from tabella.llm.common import saved
+from tabella.llm.common import saved, spare
 from tabella.session import load
 
 #: Stands for the secret of a real run.
 PSEUDONYM_KEY = "pipeline, replace by a secret"
 MIX_BLOCK = 100
+#: Target weights by source; None takes the square root of each source's rows.
+MIX_WEIGHTS: dict[str, float] | None = None
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +40,15 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are interleaved to target weights (the square root of their size); the files hold the documents in that order.
 
-    Every document is kept once: the weights say when a source's documents come, not whether.
+    Every document is kept once: the weights say when a source's documents come, not whether. The packer reads the order.
     """
-    return mixing.in_mixed_order(docs, block=MIX_BLOCK)
+    return mixing.in_mixed_order(docs, MIX_WEIGHTS, block=MIX_BLOCK)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their bin, offset and sequence length."""
-    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+    """Every document's pieces with their bin, offset and sequence length; documents that come early in the mixture are in early bins."""
+    place = spare(docs, "_place")
+    return packing.pack(mixing.with_reading_order(docs, place), order=place).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

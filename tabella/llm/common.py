@@ -49,16 +49,18 @@ def crc_fold(key: Column, parts: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % parts
 
 
-def ranked(df: DataFrame, key: list[str], order: list[str], out: str, rows: int = RANK_ROWS) -> DataFrame:
+def ranked(df: DataFrame, key: list[str], order: list[str], out: str, rows: int = RANK_ROWS, by: Column | None = None) -> DataFrame:
     """Positions from 0 within each key, spread over tasks even if one key holds most rows.
 
     Every key is dealt over slices by a hash of its order columns; a slice is numbered by itself and starts
     where the slices before it end. Rows equal in all order columns get positions in any order.
+    With ``by``, a number that never falls along the order, slices are its values and positions follow the order.
     """
-    total = df.count()
-    slices = max(1, math.ceil(total / rows))
     cut = spare(df, "_slice")
-    df = df.withColumn(cut, F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int") if slices > 1 else F.lit(0))
+    if by is None:
+        slices = max(1, math.ceil(df.count() / rows))
+        by = F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int") if slices > 1 else F.lit(0)
+    df = df.withColumn(cut, by)
     sizes = df.groupBy(*key, cut).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*key).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col(cut).alias("_cut"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -21,7 +21,7 @@ from fractions import Fraction
 from itertools import accumulate, islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabella.llm.common import pick, ranked, saved, spare
@@ -206,3 +206,18 @@ def in_mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None,
     joined = joined.withColumn(at, F.coalesce("_mix_at", F.lit(-1))).drop("_mix_id", "_mix_at")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return joined.repartitionByRange(parts, at, id).sortWithinPartitions(at, id).drop(at)
+
+
+def with_reading_order(docs: DataFrame, out: str) -> DataFrame:
+    """``docs`` with each row's place, from 0 on, if its files are read by name.
+
+    Anything but a plain read of files is written first, in the order of its partitions: files that it was made from may have another.
+    """
+    name, row = spare(docs, "_file"), spare(docs, "_row_index")
+    told = lambda df: df.select("*", F.col("_metadata.file_name").alias(name), F.col("_metadata.row_index").alias(row))
+    rows = told(docs if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" else saved(docs, "reading-order"))
+    files = rows.groupBy(name).agg((F.max(row) + 1).alias("_n"))
+    number = F.regexp_extract(name, r"^part-(\d+)", 1)
+    before = Window.orderBy(F.length(number), number, name).rowsBetween(Window.unboundedPreceding, -1)
+    starts = saved(files.select(F.col(name).alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), "reading-starts")
+    return rows.join(starts, F.col(name) == F.col("_of")).withColumn(out, F.col("_start") + F.col(row)).drop(name, row, "_of", "_start")

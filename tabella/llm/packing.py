@@ -4,7 +4,8 @@ The plan is made on the histogram of piece lengths, which has at most as many ro
 the size of the data. Lengths go from long to short; each piece goes into the open bin with the least room that holds it, and
 where none does, a new bin of the least-cost permitted size is opened. Several opening rules are planned to the end, every bin
 is cut down to the smallest permitted length that holds its contents, and the cheapest plan is kept. Every piece then finds
-its bin by its length and its position among pieces of that length.
+its bin by its length and its position among pieces of that length. Where texts have an order, these positions follow it and
+bins are numbered by their first piece.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabella.llm.common import pick, ranked, saved
+from tabella.llm.common import RANK_ROWS, pick, ranked, saved
 
 LENGTHS = (512, 1024, 2048, 4096)
 START_COST = 16.0
@@ -120,25 +121,35 @@ def words(text: str):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\t-\r]+")), F.lit(0))
 
 
-def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, cost: Callable[[int], float] = sequence_cost, id: str = "doc_id", text: str = "text", size: Callable = words) -> DataFrame:
+def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, cost: Callable[[int], float] = sequence_cost, id: str = "doc_id", text: str = "text", size: Callable = words, order: str | None = None) -> DataFrame:
     """``id``, ``piece``, ``start``, ``length``, ``bin``, ``offset``, ``capacity``, ``used``: where every piece of every text lies.
 
     ``size`` gives a text's length (words by default; any column expression does). A text longer than the longest permitted
     length is cut into whole sequences and a rest, so nothing is lost. A text without length (null, empty) has one row of length
-    0 without a bin. Equal rows are packed one by one; a null id is packed under null.
+    0 without a bin. Equal rows are packed one by one; a null id is packed under null. ``order`` names a column with the place of
+    each row, a number of its own from 0 on: of pieces of one length those of earlier rows come into earlier bins of the plan, and
+    bins are numbered by the place of their earliest piece. Without it pieces of one length come in an order fixed by a hash.
     """
     if not lengths or min(lengths) < 1:
         raise ValueError("Permitted lengths must be positive.")
     most = max(lengths)
-    rows = pick(docs, id=id, text=text).select("id", size("text").cast("long").alias("n"))
-    pieces = rows.select("id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / most) - 1, F.lit(0)))).alias("piece"))
+    at = ["at"] if order else []
+    rows = pick(docs, id=id, text=text, **({"at": order} if order else {})).select("id", size("text").cast("long").alias("n"), *at)
+    pieces = rows.select("id", "n", *at, F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / most) - 1, F.lit(0)))).alias("piece"))
     start = F.col("piece") * most
-    pieces = saved(pieces.select("id", F.col("piece").cast("int").alias("piece"), start.cast("long").alias("start"), F.least(F.col("n") - start, F.lit(most)).alias("length")), "pack-pieces")
+    pieces = saved(pieces.select("id", F.col("piece").cast("int").alias("piece"), start.cast("long").alias("start"), F.least(F.col("n") - start, F.lit(most)).alias("length"), *at), "pack-pieces")
     some = pieces.filter("length > 0")
     sizes = {r["length"]: r["n"] for r in some.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    empty = pieces.filter("length = 0").select("*", *[F.lit(None).cast("long").alias(c) for c in ("bin", "offset", "capacity", "used")])
+    empty = pieces.filter("length = 0").drop(*at).select("*", *[F.lit(None).cast("long").alias(c) for c in ("bin", "offset", "capacity", "used")])
     if not sizes:
         return empty
     plan = best_plan(sizes, lengths, cost)
-    placed = ranked(some, ["length"], ["id", "piece"], "position").withColumn("to", _placed(plan)("length", "position"))
-    return placed.select("id", "piece", "start", "length", "to.bin", "to.offset", "to.capacity", "to.used").unionByName(empty)
+    stretch = F.floor(F.col("at") / RANK_ROWS) if order else None
+    placed = ranked(some, ["length"], ["at", "piece"] if order else ["id", "piece"], "position", by=stretch).withColumn("to", _placed(plan)("length", "position"))
+    placed = placed.select("id", "piece", "start", "length", "to.bin", "to.offset", "to.capacity", "to.used", *at)
+    if order:
+        placed = saved(placed, "pack-places")
+        first = placed.groupBy("bin").agg(F.min(F.struct("at", "piece")).alias("first")).select(F.col("bin").alias("_bin"), "first.at", "first.piece")
+        numbers = ranked(first, [], ["at", "piece"], "number", by=stretch).select("_bin", "number")
+        placed = placed.join(numbers, F.col("bin") == F.col("_bin")).withColumn("bin", F.col("number")).select(*empty.columns)
+    return placed.unionByName(empty)

@@ -77,6 +77,18 @@ def test_pipeline_stage_by_stage(spark):
     assert sorted(map(str, run)) == sorted(map(str, packed))
 
 
+def test_other_target_weights_change_the_packed_sequences(spark, monkeypatch):
+    def bins():
+        return {(r["doc_id"], r["piece"]): (r["bin"], r["offset"]) for r in corpus_pipeline.run(spark, SMALL).collect()}
+
+    sources = [r[0] for r in load(spark, SMALL, "documents").select("source").distinct().orderBy("source").collect()]
+    monkeypatch.setattr(corpus_pipeline, "MIX_BLOCK", 5)
+    usual = bins()
+    monkeypatch.setattr(corpus_pipeline, "MIX_WEIGHTS", {s: 4.0**i for i, s in enumerate(sources) if s is not None})
+    other = bins()
+    assert usual.keys() == other.keys() and usual != other
+
+
 def test_stages_take_odd_and_empty_tables(spark, messy, none):
     for docs in (messy, none):
         for i, (name, f) in enumerate(corpus_pipeline.STAGES):

@@ -169,3 +169,34 @@ def test_packing_odd_rows(messy, none):
         assert a[0] != b[0] or a[1] + a[2] == b[1]
     assert all(o + n <= c for _, o, n, c in taken)
     assert packing.pack(none).count() == 0
+
+
+def test_bins_follow_the_order_of_the_rows(spark, tmp_path):
+    rng = random.Random(3)
+    n = {i: rng.choice([0, 1, 3, 5, 9, 16, 40]) for i in range(600)}
+    rows = spark.createDataFrame([(i, " ".join("w" * n[i]), "ab"[i % 3 == 0]) for i in range(600)], "doc_id long, text string, source string")
+    seen = []
+    for k, weights in enumerate(({"a": 9.0, "b": 1.0}, {"a": 1.0, "b": 9.0})):
+        mixing.in_mixed_order(rows, weights, block=5).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        place = {r["doc_id"]: r["at"] for r in mixing.with_reading_order(docs, "at").collect()}
+        mixed = {r["id"]: r["position"] for r in mixing.mix(rows, weights, block=5).collect()}
+        assert sorted(place, key=place.get) == sorted(mixed, key=mixed.get) and sorted(place.values()) == list(range(600))
+        again = mixing.with_reading_order(mixing.in_mixed_order(docs, weights, block=5).cache(), "at").collect()
+        assert {r["doc_id"]: r["at"] for r in again} == place
+        got = packing.pack(mixing.with_reading_order(docs, "at"), lengths=(16, 32), order="at").collect()
+        assert {i: sum(r["length"] for r in got if r["id"] == i) for i in n} == n
+        first, held = {}, {}
+        for r in got:
+            if r["length"]:
+                first[r["bin"]] = min(first.get(r["bin"], (10**9, 0)), (place[r["id"]], r["piece"]))
+                held.setdefault(r["bin"], []).append((r["offset"], r["length"], r["used"]))
+        assert sorted(first) == list(range(len(first))) and sorted(first, key=first.get) == sorted(first)
+        for v in held.values():
+            end = 0
+            for at, size, used in sorted(v):
+                assert at == end
+                end += size
+            assert end == used
+        seen.append({(r["id"], r["piece"]): r["bin"] for r in got})
+    assert seen[0] != seen[1]
