@@ -31,6 +31,14 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a stage that ``saved`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pick(df: DataFrame, **names: str) -> DataFrame:
     """Only the columns an operator reads, under the names it uses; other columns can't clash with its own."""
     return df.select(*[df[old].alias(new) for new, old in names.items()])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabella.llm import ann_search, exact_search, language, licenses, mixing, neardup, packing, pseudonyms, secrets, toxicity
+from tabella.llm import ann_search, centroids, exact_search, language, licenses, mixing, neardup, packing, pseudonyms, secrets, toxicity
 from tabella.llm.common import crc_fold
 from tabella.session import load
 
@@ -31,6 +31,36 @@ select query_id, rank::integer as rank, vec_id, score from (
 """
 
 
+def _lloyd_sql(rounds: int) -> str:
+    """Rounds of assignment and exact floor means, one after another."""
+    square = "list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.c[i]) * (v.e[i] - c.c[i])))::bigint"
+    steps = [
+        """with v as materialized (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as materialized (
+  select row_number() over (order by sha256('2:' || vec_id::varchar), e) - 1 as j, e as c from v qualify j < 40
+)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (
+  select rid, any_value(vec_id) as vec_id, any_value(e) as e, arg_min(j, d * 64 + j) as j, min(d) as d
+  from (select v.rid, v.vec_id, v.e, c.j, {square} as d from v cross join c{i} c) group by rid
+)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} as materialized (
+  select c.j, coalesce(m.c, c.c) as c from c{i} c left join (
+    select j, list((s - ((s % n) + n) % n) // n order by i)::bigint[] as c
+    from (select j, i, sum(e[i])::bigint as s, count(*) as n from a{i}, unnest(range(1, 65)) as t(i) group by j, i) group by j
+  ) m on c.j = m.j
+)""")
+    return ", ".join(steps) + f"""
+select vec_id, a.j::integer as cluster, d as distance, sum(d) over (partition by a.j)::bigint as cluster_inertia,
+  sum(d) over ()::bigint as inertia, sha256(array_to_string(c.c, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} c on a.j = c.j
+"""
+
+
 def _query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -112,3 +142,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     files = docs.select("doc_id", path.alias("path"), "text")
     return licenses.scan_licences(files, id="doc_id").withColumnRenamed("id", "doc_id")
+
+
+@_query("op13_centroid_clustering", _lloyd_sql(5))
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(load(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")

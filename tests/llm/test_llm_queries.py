@@ -17,7 +17,7 @@ SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = entry.queries()
-    assert [n for i in range(1, 11) for n in names if n.startswith(f"op{i}_")] == sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
+    assert [n for i in range(1, 14) for n in names if n.startswith(f"op{i}_")] == sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
     assert names["pipeline"] is corpus_pipeline.run and set(entry.oracle_sql()) <= set(names)
 
 
