@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabella.llm import ann_search, centroids, exact_search, language, licenses, mixing, neardup, packing, pseudonyms, secrets, toxicity
+from tabella.llm import ann_search, cascade, centroids, exact_search, language, licenses, mixing, neardup, packing, phrases, pseudonyms, secrets, toxicity
 from tabella.llm.common import crc_fold
 from tabella.session import load
 
@@ -30,6 +30,62 @@ select query_id, rank::integer as rank, vec_id, score from (
 ) where rank <= 20
 """
 
+QUALITY = r"""
+with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents
+), w as materialized (select rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from t
+), lines as (select rid, unnest(string_split(text, chr(10))) as line from t
+), l as (
+  select rid, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines,
+    count(*) filter (regexp_matches(line, '(\.\.\.|\x{2026})[\x20\x09\x0B-\x0D]*$')) as n_cut_lines,
+    count(*) filter (regexp_matches(line, '^[\x20\x09\x0B-\x0D]*[-*\x{2022}]')) as n_bullet_lines
+  from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by rid
+), windows as (
+  select rid, i, w[i : i + 7] as eight from w, unnest(range(1, len(w) - 6)) as r(i)
+), covered as (
+  select rid, count(distinct at) as n_repeat_words
+  from (select rid, i, count(*) over (partition by rid, eight) as n from windows), unnest(range(i, i + 8)) as c(at) where n > 1 group by rid
+), top as (
+  select rid, max(n) as n_top_word from (select rid, word, count(*) as n from (select rid, unnest(w) as word from w) group by rid, word) group by rid
+), m as (
+  select doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::bigint as word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+    len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) as n_letter_words, coalesce(n_lines, 0) as n_lines,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as n_stutters, coalesce(n_top_word, 0) as n_top_word,
+    coalesce(n_cut_lines, 0) as n_cut_lines, coalesce(n_bullet_lines, 0) as n_bullet_lines
+  from w left join l using (rid) left join covered using (rid) left join top using (rid)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or 10 * n_symbols > n_words or word_chars < 2 * n_words or word_chars > 15 * n_words
+    or 10 * n_letter_words < 7 * n_words or 100 * n_stutters > 25 * n_words or 100 * n_top_word > 35 * n_words
+    or 100 * n_dup_lines > 50 * n_lines or 100 * n_cut_lines > 50 * n_lines or 100 * n_bullet_lines > 90 * n_lines) as kept
+from m
+"""
+
+PHRASES = r"""
+with d as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+), pieces as (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from d
+), w as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), g as materialized (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as a
+  from w, unnest(range(1, 5)) as t(k), unnest(range(1, len(w) - k + 2)) as s(i) group by all
+), f as materialized (select *, string_split(phrase, ' ') as ws from g where k > 1 and a >= 30
+), cuts as (
+  select f.lang, f.phrase, f.a, c, l.a as l, r.a as r, ((2000000::hugeint * f.a) // (l.a + r.a)::hugeint)::bigint as score
+  from f, unnest(range(1, k)) as t(c)
+  join g l on l.lang = f.lang and l.phrase = array_to_string(f.ws[1:c], ' ')
+  join g r on r.lang = f.lang and r.phrase = array_to_string(f.ws[c + 1 : f.k], ' ')
+), lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, c) = 1
+), inside as (
+  select lang, array_to_string(ws[i : i + m - 1], ' ') as phrase, max(a) as a
+  from f, unnest(range(2, k)) as t(m), unnest(range(1, k - m + 2)) as s(i) group by all
+), left_over as (
+  select o.* from lowest o left join inside s on s.lang = o.lang and s.phrase = o.phrase where s.a is null or 100 * s.a < 80 * o.a
+), ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from left_over
+), totals as (select lang, sum(a)::bigint as n from g where k = 1 group by lang)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
 
 def _lloyd_sql(rounds: int) -> str:
     """Rounds of assignment and exact floor means, one after another."""
@@ -147,3 +203,16 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op13_centroid_clustering", _lloyd_sql(5))
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster(load(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@_query("op12_quality_rules", QUALITY)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    out = cascade.screen(docs, cascade.plan(docs), measures=cascade.BASE)
+    base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return out.select(F.col("id").alias("doc_id"), *cascade.BASE, base_failed.alias("base_failed"), "kept")
+
+
+@_query("op11_phrase_mining", PHRASES)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(load(spark, folder, "documents"))
