@@ -42,8 +42,8 @@ with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as tex
 ), windows as (
   select rid, i, w[i : i + 7] as eight from w, unnest(range(1, len(w) - 6)) as r(i)
 ), covered as (
-  select rid, count(distinct at) as n_repeat_words
-  from (select rid, i, count(*) over (partition by rid, eight) as n from windows), unnest(range(i, i + 8)) as c(at) where n > 1 group by rid
+  select rid, count(distinct place) as n_repeat_words
+  from (select rid, i, count(*) over (partition by rid, eight) as n from windows), unnest(range(i, i + 8)) as c(place) where n > 1 group by rid
 ), top as (
   select rid, max(n) as n_top_word from (select rid, word, count(*) as n from (select rid, unnest(w) as word from w) group by rid, word) group by rid
 ), m as (
