@@ -12,17 +12,18 @@ hashed to bits); a wrong hit only means that one phrase more is counted, never t
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabella.llm.common import mixed, pick, saved, strings
+from tabella.llm.common import mixed, pick, saved, strings, word_hashes
 
 TOP, LEAST, COVER, LONGEST = 2_000, 30, 80, 4
 #: Prefixes above the first bar, as a multiple of ``top``; every later round takes ``STEP`` times as many.
@@ -43,10 +44,14 @@ class Slice:
     """
 
     ids: np.ndarray
-    words: list[bytes]
-    hashes: np.ndarray
+    words: pa.Array
+    seed: np.uint64
     old: int
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return mixed(word_hashes(*_bytes_of(self.words))[0] ^ self.seed)
+
     def runs(self, n: int) -> np.ndarray:
         """Where phrases of ``n`` words start that do not lie in the repeated words alone."""
         if len(self.ids) < n:
@@ -74,16 +79,20 @@ class Slice:
         _, first, count = np.unique(runs, return_index=True, return_counts=True)
         return at[first], count
 
-    def spell(self, at: np.ndarray, n: int) -> list[str]:
-        return [b" ".join([self.words[i] for i in run]).decode("utf-8", "replace") for run in np.stack([self.ids[at + j] for j in range(n)], axis=1).tolist()]
+    def spell(self, at: np.ndarray, n: int) -> pa.Array:
+        return pc.binary_join_element_wise(*[self.words.take(pa.array(self.ids[at + j])) for j in range(n)], pa.scalar(" ", self.words.type))
 
 
-def _seed(lang: str) -> int:
-    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of texts, and where each text begins and ends."""
+    words = words.cast(pa.large_string())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _word_hash(word: bytes, seed: int) -> int:
-    return xxhash.xxh64_intdigest(word, seed)
+def _seed(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))
 
 
 def slices(texts: list[bytes], lang: str, n: int, limit: int = SLICE_BYTES) -> Iterator[Slice]:
@@ -95,15 +104,23 @@ def slices(texts: list[bytes], lang: str, n: int, limit: int = SLICE_BYTES) -> I
     while at < len(data):
         end = len(data) if len(data) - at <= limit else data.find(b" ", at + limit)
         end = len(data) if end < 0 else end
-        tokens = carry + data[at:end].split(b" ")
+        ids, words = _numbers(b" ".join([*carry, data[at:end]]))
         at = end
-        numbers: dict[bytes, int] = defaultdict(lambda: len(numbers))
-        numbers[_CUT] = 0
-        ids = np.fromiter(map(numbers.__getitem__, filter(None, tokens)), np.int64)
-        words = list(numbers)
-        hashes = np.fromiter((_word_hash(w, seed) for w in words), np.uint64, len(words))
-        yield Slice(ids, words, hashes, len(carry))
-        carry = [words[i] for i in ids[max(0, len(ids) - n + 1) :].tolist()] if n > 1 else []
+        yield Slice(ids, words, seed, len(carry))
+        carry = words.take(pa.array(ids[max(0, len(ids) - n + 1) :])).cast(pa.large_binary()).to_pylist() if n > 1 else []
+
+
+def _numbers(text: bytes) -> tuple[np.ndarray, pa.Array]:
+    """The words of a text as numbers, and the word of every number; the end of a piece is number 0."""
+    one = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int64)), pa.py_buffer(text)])
+    coded = pc.split_pattern(one, " ").flatten().dictionary_encode()
+    words = coded.dictionary
+    cut, blank = pc.equal(words, _CUT.decode()), pc.equal(words, "")
+    number = np.cumsum(~(cut.to_numpy(zero_copy_only=False) | blank.to_numpy(zero_copy_only=False)))
+    number[cut.to_numpy(zero_copy_only=False)], number[blank.to_numpy(zero_copy_only=False)] = 0, -1
+    kept = pa.concat_arrays([pa.array([_CUT.decode()], words.type), words.filter(pc.invert(pc.or_(cut, blank)))])
+    ids = number[coded.indices.to_numpy(zero_copy_only=False)]
+    return ids[ids >= 0], kept
 
 
 class Sieve:
@@ -120,13 +137,18 @@ class Sieve:
         return out
 
 
-def phrase_hash(lang: str, phrase: str) -> int:
-    seed = _seed(lang)
-    h = None
-    for word in phrase.encode("utf-8", "surrogatepass").split(b" "):
-        w = np.array([_word_hash(word, seed)], np.uint64)
-        h = w if h is None else mixed(h * _FOLD + w)
-    return int(h[0])
+def phrase_hashes(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
+    """The hashes that ``Slice.hash_at`` gives to these phrases of these languages; an empty phrase stands for its language."""
+    seeds = {lang: _seed(lang) for lang in langs.unique().to_pylist()}
+    seed = np.array([seeds[lang] for lang in langs.to_pylist()], np.uint64)
+    h, row = word_hashes(*_bytes_of(phrases))
+    h = mixed(h ^ seed[row])
+    first, count = np.searchsorted(row, np.arange(len(phrases))), np.bincount(row, minlength=len(phrases))
+    out = mixed(seed)
+    for j in range(int(count.max(initial=0))):
+        some = np.flatnonzero(count > j)
+        out[some] = h[first[some]] if j == 0 else mixed(out[some] * _FOLD + h[first[some] + j])
+    return out
 
 
 def sieve(keys: DataFrame, bits: int = SIEVE_BITS) -> Sieve:
@@ -141,7 +163,7 @@ def sieve(keys: DataFrame, bits: int = SIEVE_BITS) -> Sieve:
             if ready:
                 h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             else:
-                h = np.array([phrase_hash(a.as_py(), b.as_py()) for a, b in zip(batch.column(0), batch.column(1))], np.uint64)
+                h = phrase_hashes(batch.column(0), batch.column(1))
             place = np.concatenate([h, mixed(h)]) & np.uint64(size - 1)
             bit = np.left_shift(np.uint64(1), place & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int32)), pa.array(bit.view(np.int64))], ["slot", "bit"])
@@ -167,13 +189,13 @@ def _scan(docs: DataFrame, n: int, schema: str, emit: Callable[[Slice], tuple],
             for lang, text in zip(langs, strings(batch, "text").cast(pa.large_binary()).to_pylist()):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
-                if langs_open is not None and not langs_open.has(np.array([phrase_hash(lang, "")], np.uint64))[0]:
+                if langs_open is not None and not langs_open.has(phrase_hashes(pa.array([lang]), pa.array([""])))[0]:
                     continue
                 for some in slices(texts, lang, n):
                     columns = emit(some)
                     if names[0] == "lang":
                         columns = ([lang] * len(columns[0]), *columns)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names)
+                    yield pa.RecordBatch.from_arrays([c.cast(kind) if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, kinds)], names)
 
     return docs.select("lang", "text").mapInArrow(run, schema)
 
@@ -187,7 +209,7 @@ def _counted(docs: DataFrame, n: int, wanted: Callable[[Slice, np.ndarray], np.n
     def emit(some: Slice) -> tuple:
         at = some.runs(n)
         at, count = some.distinct(at[wanted(some, at)], n) if len(at) else (at, at)
-        return some.spell(at, n) if len(at) else [], count
+        return some.spell(at, n), count
 
     return _scan(docs, n, "lang string, phrase string, n long", emit, langs_open).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
 
@@ -287,7 +309,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: i
     def every_word(some: Slice) -> tuple:
         count = np.bincount(some.ids, minlength=len(some.words))[1:]
         held = np.flatnonzero(count)
-        return [some.words[i + 1].decode("utf-8", "replace") for i in held.tolist()], count[held]
+        return some.words.take(pa.array(held + 1)), count[held]
 
     words = saved(_scan(docs, 1, "lang string, phrase string, n long", every_word).groupBy("lang", "phrase").agg(F.sum("n").alias("a")), "words")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
@@ -295,13 +317,14 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: i
     often = sieve(counts[1])
 
     def both_often(some: Slice, at: np.ndarray) -> np.ndarray:
-        return often.has(some.hash_at(at, 1)) & often.has(some.hash_at(at + 1, 1))
+        known = often.has(some.hashes)[some.ids]
+        return known[at] & known[at + 1]
 
     # Pairs grow from all one-word prefixes. First their hashes are counted, which can only be too many; then the few left, exactly.
     def hashed(some: Slice) -> tuple:
         at = some.runs(2)
-        at, count = some.distinct(at[both_often(some, at)], 2) if len(at) else (at, at)
-        return (some.hash_at(at, 2).view(np.int64) if len(at) else at), count
+        key, count = np.unique(some.hash_at(at[both_often(some, at)], 2), return_counts=True)
+        return key.view(np.int64), count
 
     keys = _scan(docs, 2, "key long, n long", hashed).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     likely = sieve(saved(keys.select("key"), "pairs-hashed"))

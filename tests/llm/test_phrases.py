@@ -62,7 +62,7 @@ ROWS += [(None, "NULL language, null language\tnull  language"), ("und", "null l
 ROWS += [("es", "w" * 300_000 + " " + prose(99, 30_000, WORDS, 0.02))]
 
 
-@pytest.mark.parametrize("top,least", [(5, 3), (40, 2), (2000, 3), (7, 9)])
+@pytest.mark.parametrize("top,least", [(5, 3), (2000, 2)])
 def test_equals_brute_force(spark, top, least):
     got = phrases.collocations(table(spark, ROWS).repartition(6), top=top, least=least, first=2)
     assert sorted(tuple(r) for r in got.collect()) == brute(ROWS, top, least)
@@ -101,12 +101,12 @@ def test_slices_meet_every_phrase_once():
         want = Counter()
         for some in phrases.slices([text], "en", n):
             at = some.runs(n)
-            want.update(some.spell(at, n))
+            want.update(some.spell(at, n).to_pylist())
         for limit in (1, 7, 64):
             got = Counter()
             for some in phrases.slices([text], "en", n, limit):
                 at, count = some.distinct(some.runs(n), n) if len(some.runs(n)) else (np.zeros(0, int), [])
-                got.update(dict(zip(some.spell(at, n), map(int, count))) if len(at) else {})
+                got.update(dict(zip(some.spell(at, n).to_pylist(), map(int, count))) if len(at) else {})
             assert got == want and want
 
 
