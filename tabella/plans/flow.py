@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tabella.operators import joins, layers, quality, profile
@@ -61,6 +62,32 @@ def _(spark, d):
     return files.read_json_records(spark, sinks.write_json(df, new_path(spark, "json")))
 
 
+def _as_arrays(records):
+    """Every part file of a text table as one JSON array, its objects over several lines."""
+
+    def run(batches):
+        lead = "["
+        for batch in batches:
+            for row in batch["value"]:
+                yield pd.DataFrame({"value": [lead + row.replace(",", ",\n", 1)]})
+                lead = ","
+        yield pd.DataFrame({"value": ["[]" if lead == "[" else "]"]})
+
+    return records.mapInPandas(run, "value string")
+
+
+@query(
+    "read_json_array",
+    """SELECT p_partkey AS id, p_brand || ' "}' || p_size || '{' AS "what.name", p_type AS "what.kind.type", p_retailprice AS price FROM part""",
+)
+def _(spark, d):
+    name = F.concat("p_brand", F.lit(' "}'), "p_size", F.lit("{"))
+    one = F.struct(F.col("p_partkey").alias("id"), F.struct(name.alias("name"), F.struct(F.col("p_type").alias("type")).alias("kind")).alias("what"), F.col("p_retailprice").alias("price"))
+    path = new_path(spark, "array")
+    _as_arrays(load(spark, d, "part").select(F.to_json(one).alias("value"))).write.text(path)
+    return files.read_json_records(spark, path)
+
+
 @query("read_parquet", "SELECT event_id, user_id, event_type, value FROM events")
 def _(spark, d):
     df = load(spark, d, "events").select("event_id", "user_id", "event_type", "value")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabella.operators import models
+from tabella.operators import models, sampling
 from tabella.plans.registry import query
 from tabella.session import load
 
@@ -126,14 +126,87 @@ def _(spark, d):
 
 
 # ------------------------------------------------------------------ models
-@query("compare_regressors")
+# Fitted scores have no SQL form. These queries run at the operators' defaults and return what must hold of every score.
+@query(
+    "compare_regressors",
+    """SELECT unnest(['linear', 'ridge', 'lasso', 'elastic net', 'tree', 'forest', 'boosting']) AS model, 1 AS best_models, true AS best_has_least_rmse, true AS beats_the_mean,
+       true AS explains_half, true AS cross_validation_agrees FROM (SELECT count(*) AS n FROM orders) WHERE n > 0""",
+)
+def _(spark, d):
+    orders = _orders(spark, d)
+    scores = models.compare_regressors(orders, "cost", ["o_totalprice", "month", "customer"])
+    mean = orders.agg(F.stddev_pop("cost").alias("sd"))
+    whole = F.struct(F.sum(F.col("best").cast("int")).alias("n"), (F.min("rmse") == F.min(F.when(F.col("best"), F.col("rmse")))).alias("least"))
+    return scores.join(F.broadcast(scores.agg(whole.alias("all"))), how="cross").join(F.broadcast(mean), how="cross").select(
+        "model", F.col("all.n").cast("int").alias("best_models"), F.col("all.least").alias("best_has_least_rmse"), (F.col("rmse") < F.col("sd")).alias("beats_the_mean"),
+        (F.col("r2") > 0.5).alias("explains_half"), F.col("cv_rmse").between(F.col("rmse") * 0.7, F.col("rmse") * 1.3).alias("cross_validation_agrees"),
+    )
+
+
+@query(
+    "compare_classifiers",
+    """SELECT unnest(['logistic', 'naive bayes', 'tree', 'forest', 'boosting', 'neural network', 'linear svm']) AS model, 1 AS best_models, true AS best_has_most_f1,
+       true AS in_bounds, true AS cross_validation_agrees FROM (SELECT count(*) AS n FROM orders) WHERE n > 0""",
+)
+def _(spark, d):
+    scores = models.compare_classifiers(_orders(spark, d), "o_orderstatus", ["o_totalprice", "month", "customer"])
+    whole = F.struct(F.sum(F.col("best").cast("int")).alias("n"), (F.max("f1") == F.max(F.when(F.col("best"), F.col("f1")))).alias("most"))
+    bounds = F.least("accuracy", "precision", "recall", "f1") >= 0, F.greatest("accuracy", "precision", "recall", "f1") <= 1
+    return scores.join(F.broadcast(scores.agg(whole.alias("all"))), how="cross").select(
+        "model", F.col("all.n").cast("int").alias("best_models"), F.col("all.most").alias("best_has_most_f1"), (bounds[0] & bounds[1]).alias("in_bounds"),
+        F.col("cv_accuracy").between(F.col("accuracy") - 0.1, F.col("accuracy") + 0.1).alias("cross_validation_agrees"),
+    )
+
+
+@query(
+    "stratified_split",
+    """WITH o AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) AS place, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
+       SELECT o_orderkey, o_orderstatus, CASE WHEN place <= least(greatest(round(n * 0.3), least(n - 1, 1)), n - 1) THEN 'test' ELSE 'train' END AS part FROM o""",
+)
 def _(spark, d):
-    return models.compare_regressors(_orders(spark, d), "cost", ["o_totalprice", "month", "customer"], trees=5, penalties=3, folds=2)
+    orders = load(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    train, test = sampling.stratified_split(orders, "o_orderstatus", 0.3, order=F.md5(F.col("o_orderkey").cast("string").cast("binary")))
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-@query("compare_classifiers")
+@query(
+    "class_shares",
+    """WITH n AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderstatus, part, CASE part WHEN 'test' THEN round(n * 0.25)::BIGINT ELSE n - round(n * 0.25)::BIGINT END AS rows FROM n, (SELECT unnest(['test', 'train']) AS part)""",
+)
 def _(spark, d):
-    return models.compare_classifiers(_orders(spark, d), "o_orderstatus", ["o_totalprice", "month", "customer"], trees=5, folds=0)
+    train, test = sampling.stratified_split(_orders(spark, d), "o_orderstatus", 0.25)
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.groupBy("o_orderstatus", "part").agg(F.count("*").alias("rows"))
+
+
+@query(
+    "stratified_folds",
+    """WITH n AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderstatus, fold, n // 5 + CAST(fold < n % 5 AS INT) AS rows FROM n, (SELECT unnest(range(5))::INT AS fold)""",
+)
+def _(spark, d):
+    return sampling.stratified_folds(_orders(spark, d), "o_orderstatus", 5, "fold").groupBy("o_orderstatus", "fold").agg(F.count("*").alias("rows"))
+
+
+@query(
+    "class_weights",
+    """SELECT o_orderkey, o_orderstatus, round(sum(1) OVER () / ((SELECT count(DISTINCT o_orderstatus) FROM orders) * count(*) OVER (PARTITION BY o_orderstatus)), 9) AS weight FROM orders""",
+)
+def _(spark, d):
+    return sampling.class_weights(load(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus").withColumn("weight", F.round("weight", 9))
+
+
+@query(
+    "shuffle_columns",
+    """SELECT 'l_quantity' AS column_name, l_quantity::DOUBLE AS value, count(*) AS rows, true AS unrelated FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_discount', l_discount::DOUBLE, count(*), true FROM lineitem GROUP BY 2""",
+)
+def _(spark, d):
+    """The values of both columns after the shuffle, and that nothing ties them to their old rows although the table is sorted."""
+    names = ["l_quantity", "l_discount"]
+    mixed = sampling.ColumnShuffle(load(spark, d, "lineitem").select(*names).orderBy(*names), names).draw(7)
+    ties = mixed.agg(*[F.corr(x, f"_p{i}").alias(x) for i, x in enumerate(names)])
+    counts = [mixed.groupBy(F.lit(x).alias("column_name"), F.col(f"_p{i}").alias("value")).agg(F.count("*").alias("rows")) for i, x in enumerate(names)]
+    loose = ties.select(F.explode(F.array(*[F.struct(F.lit(x).alias("column_name"), (F.abs(x) < 5 / F.sqrt(F.lit(float(mixed.count())))).alias("unrelated")) for x in names])).alias("t")).select("t.*")
+    return counts[0].unionByName(counts[1]).join(loose, "column_name")
 
 
 @query(
@@ -172,13 +245,22 @@ def _(spark, d):
 
 
 # ------------------------------------------------------------------ importance
-@query("model_importance")
+@query(
+    "model_importance",
+    """SELECT column_name, column_name = 'o_totalprice' AS leads, column_name <> 'customer' AS matters
+       FROM (SELECT unnest(['o_totalprice', 'month', 'customer']) AS column_name FROM (SELECT count(*) AS n FROM orders) WHERE n > 0)""",
+)
 def _(spark, d):
-    df = _orders(spark, d)
-    return models.model_importance(df, "cost", ["o_totalprice", "month", "customer"], classify=False, trees=10, repeats=2)
+    """The number that mostly makes the cost leads, the month matters too, and the customer's number doesn't."""
+    got = models.model_importance(_orders(spark, d), "cost", ["o_totalprice", "month", "customer"], classify=False)
+    top = got.agg(F.max_by("column_name", "forest_pct").alias("top"))
+    return got.join(F.broadcast(top), how="cross").select("column_name", (F.col("column_name") == F.col("top")).alias("leads"), (F.col("permutation_drop") > 0.005).alias("matters"))
 
 
-@query("boruta_select")
+@query(
+    "boruta_select",
+    """SELECT column_name, column_name <> 'customer' AS confirmed, column_name <> 'customer' AS ranks_first
+       FROM (SELECT unnest(['o_totalprice', 'month', 'customer']) AS column_name FROM (SELECT count(*) AS n FROM orders) WHERE n > 0)""",
+)
 def _(spark, d):
-    df = _orders(spark, d)
-    return models.boruta_select(df, "cost", ["o_totalprice", "month", "customer"], classify=False, rounds=10, trees=10)
+    return models.boruta_select(_orders(spark, d), "cost", ["o_totalprice", "month", "customer"], classify=False).select("column_name", (F.col("decision") == "Confirmed").alias("confirmed"), (F.col("rank") == 1).alias("ranks_first"))

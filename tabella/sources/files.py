@@ -7,8 +7,10 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tabella.functions.scalar import CSV_NA, NA_MARKERS, c, is_text, plain_number
+from tabella.functions.scalar import CSV_NA, NA_MARKERS, c, is_text, plain_number, q
 from tabella.operators.profile import wide_agg
+from tabella.session import new_path
+from tabella.sources.records import csv_records, json_records, json_start
 
 SEPARATORS = [",", "\t", ";", "|"]
 # Spark reads UTF-8 and ISO-8859-1; windows-1252 differs from the latter in the
@@ -33,10 +35,6 @@ def header_looks_like_data(names: list[str]) -> bool:
     return len(values) >= max(DATA_CELLS, DATA_SHARE * len(names))
 
 
-def numbered(n: int) -> list[str]:
-    return list(map("column_{}".format, range(1, n + 1)))
-
-
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     """Whole lines as one text column, in the given encoding."""
     return (
@@ -103,23 +101,28 @@ def infer_numbers(df: DataFrame) -> DataFrame:
 def read_delimited(spark: SparkSession, path: str, header: bool | None = None, types: bool = True) -> DataFrame:
     """Delimited text: encoding, separator and header are detected from the file.
 
-    A file whose quoted cells hold line breaks can't be split and is read by one task; all others are split.
+    A file whose quoted cells hold line breaks is cut into records in parallel (``records.csv_records``).
     """
     encoding, broken = sniff(spark, path)
     first = _lines(spark, path, encoding).where(F.length(F.trim("line")) > 0).limit(1).collect()
     if not first:
         raise ValueError(f"No line of '{path}' holds anything.")
-    line = first[0]["line"]
+    records = csv_records(spark, path, _charset(encoding)) if broken else None
+    line = records.where("first").first()["value"] if broken else first[0]["line"]
     if encoding == WINDOWS:
         line = line.encode("latin-1").decode("cp1252")
     sep = detect_separator(line)
-    base = spark.read.option("sep", sep).option("encoding", _charset(encoding)).option("escape", '"').option("multiLine", broken)
     names = [x or f"Unnamed: {i}" for i, x in enumerate(_split(line, sep))]
     if header is None:
         header = not header_looks_like_data(names)
-    names = _unique([x.strip() for x in names]) if header else numbered(len(names))
+    names = _unique([x.strip() for x in names]) if header else [f"column_{i + 1}" for i in range(len(names))]
     schema = T.StructType([T.StructField(x, T.StringType()) for x in names])
-    df = base.option("header", header).option("enforceSchema", True).schema(schema).csv(path)
+    if broken:
+        rows = records.where(~F.col("first")) if header else records
+        df = rows.select(F.from_csv("value", _ddl(schema), {"sep": sep, "escape": '"'}).alias("r")).select("r.*")
+    else:
+        base = spark.read.option("sep", sep).option("encoding", _charset(encoding)).option("escape", '"')
+        df = base.option("header", header).option("enforceSchema", True).schema(schema).csv(path)
     missing = [*NA_MARKERS, *CSV_NA, ""]
     cell = lambda x: F.trim(_decoded(c(x), encoding))
     df = df.select(*[F.when(~cell(x).isin(missing), cell(x)).alias(x) for x in names])
@@ -127,6 +130,10 @@ def read_delimited(spark: SparkSession, path: str, header: bool | None = None, t
     return infer_numbers(df) if types else df
 
 
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"{q(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def _split(line: str, sep: str) -> list[str]:
     import csv
 
@@ -162,26 +169,35 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records as lines, as one array, or inside one object (the longest list wins)."""
-    head = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(2).collect()
-    lines = False
+    """Records as lines, as one array, or inside one object (the longest list wins).
+
+    Lines are read as they are. An array, and the lists of an object, are cut into records in parallel, however the file is
+    broken into lines (``records.json_records``); only its first characters are looked at to tell the forms apart. An
+    object of values or of columns is one record by nature and is read whole.
+    """
+    start = json_start(spark, path)
+    if _is_lines(start):
+        return flatten(spark.read.json(path))
+    records = json_records(spark, path, start)
+    if records is None:
+        return flatten(_unwrap(spark.read.option("multiLine", True).json(path)))
+    folder = new_path(spark, "json-lines")
+    records.select(F.regexp_replace("value", "[\r\n]+", " ")).write.text(folder)
+    return flatten(spark.read.json(folder))
+
+
+def _is_lines(start: str) -> bool:
+    """Whether a file's first line is a whole object and another one follows."""
+    line, _, rest = start.partition("\n")
     try:
-        lines = isinstance(json.loads(head[0]["value"]), dict) and len(head) > 1
-    except (json.JSONDecodeError, IndexError):
-        pass
-    df = spark.read.option("multiLine", not lines).json(path)
-    if not lines:
-        df = _unwrap(df)
-    return flatten(df)
+        return isinstance(json.loads(line), dict) and rest.lstrip().startswith("{")
+    except json.JSONDecodeError:
+        return False
 
 
 def _unwrap(df: DataFrame) -> DataFrame:
+    """One object of columns becomes their table; one object of values stays one row."""
     fields = df.schema.fields
-    lists = [f.name for f in fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
-    if lists and df.limit(2).count() == 1:
-        sizes = wide_agg(df, {x: F.max(F.size(c(x))) for x in lists})
-        best = max(lists, key=lambda x: sizes[x] or 0)
-        return df.select(F.inline(c(best)))
     if fields and all(isinstance(f.dataType, T.ArrayType) for f in fields) and df.limit(2).count() == 1:
         return df.select(F.inline(F.arrays_zip(*[c(f.name) for f in fields])))
     return df

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabella.operators import basket, clean, describe, forecast, grouping, joins, kpi, layers, models, prepare, profile, quality, standardize, stats, text, wrangle
+from tabella.operators import balls, basket, clean, describe, forecast, grouping, joins, kpi, layers, models, prepare, profile, quality, standardize, stats, text, wrangle
 from tabella.session import work_dir
 from tabella.sources import awards, files, sinks
 
@@ -351,7 +351,7 @@ def test_many_levels_are_kept(spark):
 
 
 def test_knn_is_exact_over_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(models, "KNN_CELL", 40)
+    monkeypatch.setattr(balls, "BALL_ROWS", 40)
     rng = np.random.default_rng(4)
     x = rng.standard_normal((700, 2))
     x[:250, 0] = 1.0  # a hot strip
