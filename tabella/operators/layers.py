@@ -17,7 +17,7 @@ from tabella.operators.joins import join_tables
 from tabella.operators.quality import fingerprint, gate_status, mask_pii, quality_gates
 from tabella.operators.wrangle import add_date_parts, converted, safe_columns
 from tabella.sources.files import one_select
-from tabella.sources.sinks import write_partitioned
+from tabella.sources.sinks import write_counted, write_partitioned
 
 LOG_SCHEMA = (
     "run_id string, started string, source string, rows_in long, gate string, fingerprint string, status string, "
@@ -25,13 +25,17 @@ LOG_SCHEMA = (
 )
 
 
-def write_layers(tables: dict[str, DataFrame | None], folder: str, checks: DataFrame, manifest: dict) -> dict[str, str]:
-    """Each layer as Parquet, the checks, and a manifest that says where they came from."""
-    paths = {}
+def write_layers(tables: dict[str, DataFrame | None], folder: str, checks: DataFrame, manifest: dict, rows: dict[str, int] | None = None) -> dict[str, str]:
+    """Each layer as Parquet, the checks, and a manifest that says where they came from.
+
+    ``rows``, if given, receives how many rows of each layer were written, observed while they were.
+    """
+    paths, rows = {}, {} if rows is None else rows
     for name, df in tables.items():
         if df is not None:
             paths[name] = f"{folder}/{name}"
-            safe_columns(df).write.mode("overwrite").parquet(paths[name])
+            rows[name] = write_counted(safe_columns(df), paths[name])
+    manifest = {**manifest, "rows": rows}
     checks.coalesce(1).write.mode("overwrite").parquet(f"{folder}/quality_checks")
     spark = checks.sparkSession
     text = json.dumps(manifest, sort_keys=True, default=str)
@@ -56,9 +60,10 @@ def sql_on_layers(tables: dict[str, DataFrame | None], sql: str) -> DataFrame:
 
 
 def lineage_table(
-    tables: dict[str, DataFrame | None], source: str, cleaning_steps: int, pii: list[str] = (), gold_by: list[str] = ()
+    tables: dict[str, DataFrame | None], source: str, cleaning_steps: int, pii: list[str] = (), gold_by: list[str] = (), rows: dict[str, int] | None = None
 ) -> DataFrame:
-    """Where each layer came from: rows, columns, and how it was made."""
+    """Where each layer came from: rows, columns, and how it was made. Layers whose ``rows`` are known are not counted again."""
+    known = rows or {}
     made = {
         "bronze": (source, "loaded as received"),
         "silver": ("bronze", f"{cleaning_steps} cleaning steps" + (f"; masked {', '.join(pii)}" if pii else "")),
@@ -67,7 +72,7 @@ def lineage_table(
     rows = []
     for name, (origin, how) in made.items():
         df = tables.get(name)
-        rows.append((name, origin, df.count() if df is not None else 0, len(df.columns) if df is not None else 0, how))
+        rows.append((name, origin, 0 if df is None else known[name] if name in known else df.count(), len(df.columns) if df is not None else 0, how))
     spark = next(df for df in tables.values() if df is not None).sparkSession
     return spark.createDataFrame(rows, "layer string, built_from string, rows long, columns int, how string")
 
@@ -116,18 +121,19 @@ def run_config(config: dict, raw: DataFrame, out_dir: str, source: str = "", joi
     silver = cleaned.table
     if config.get("pii"):
         silver = mask_pii(silver, list(config["pii"]), config.get("pii_method", "hash"), config.get("pii_salt", ""))
-    safe_columns(silver).write.mode("overwrite").parquet(f"{folder}/silver")
+    rows_silver = write_counted(safe_columns(silver), f"{folder}/silver")
     silver = spark.read.parquet(f"{folder}/silver")
     g = config.get("gold") or {}
     gold = None
     if g.get("by") or g.get("date_col"):
         gold = group_summary(silver, g.get("by", []), g.get("values", []), g.get("funcs", []), g.get("date_col"), g.get("period"), sort=False)
     manifest = {"name": config.get("name", "run"), "run_at": started, "source": source, "fingerprint": row["fingerprint"], "gate": status, "cleaning_steps": cleaned.steps, "config": config}
-    write_layers({"gold": gold}, folder, checks, manifest)
+    rows = {"bronze": cleaned.rows_in, "silver": rows_silver}
+    write_layers({"gold": gold}, folder, checks, manifest, rows)
     if gold is not None:
         gold = spark.read.parquet(f"{folder}/gold")
-        row["rows_gold"] = gold.count()
-    row.update(status="ok", rows_silver=cleaned.rows_out, seconds=round(time.time() - t0, 1))
+        row["rows_gold"] = rows["gold"]
+    row.update(status="ok", rows_silver=rows_silver, seconds=round(time.time() - t0, 1))
     append_run_log(spark, out_dir, row)
     result.update(silver=silver, gold=gold)
     return result

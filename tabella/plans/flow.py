@@ -13,7 +13,7 @@ from tabella.plans.inputs import CLEAN_SQL, LOADED_SQL, day_text, gap_orders, lo
 from tabella.plans.registry import query
 from tabella.session import load, new_path
 from tabella.sources import awards, files, sinks
-from tabella.streaming import streams
+from tabella.streaming import gold, streams
 
 
 # ------------------------------------------------------------------ sources
@@ -489,7 +489,9 @@ def _(spark, d):
     raw = loaded_orders(spark, d)
     done = clean_table(raw)
     gold = group_summary(done.table, ["status"], ["price_text"], ["sum"])
-    return layers.lineage_table({"bronze": raw, "silver": done.table, "gold": gold}, "orders", len(done.steps), ["remark"], ["status"])
+    tables, rows = {"bronze": raw, "silver": done.table, "gold": gold}, {}
+    layers.write_layers(tables, new_path(spark, "lineage"), quality.quality_gates(raw, done.profile), {}, rows)
+    return layers.lineage_table(tables, "orders", len(done.steps), ["remark"], ["status"], rows)
 
 
 @query(
@@ -540,6 +542,29 @@ def _(spark, d):
     return spark.read.parquet(f"{out}/silver").select(F.col("event_id").cast("long"), "user_id", "event_type", "value")
 
 
+@query(
+    "stream_gold",
+    """SELECT event_type, count(*) AS rows_in_group, round(sum(coalesce(value, 0)), 3) AS value_sum, round(avg(coalesce(value, 0)), 3) AS value_mean, count(*) AS value_count,
+       round(min(coalesce(value, 0)), 3) AS value_min, round(max(coalesce(value, 0)), 3) AS value_max FROM events GROUP BY 1""",
+)
+def _(spark, d):
+    path, schema = _event_files(spark, d)
+    out = new_path(spark, "stream-out")
+    kinds = {"event_id": "numeric", "user_id": "categorical", "event_type": "categorical", "value": "numeric", "props": "identifier"}
+    wanted = gold.Gold(["event_type"], ["value"], ["sum", "mean", "count", "min", "max"])
+    streams.stream_layers(streams.file_stream(spark, path, schema, max_files=1).drop("ts"), kinds, {"value": 0.0}, out, new_path(spark, "chk"), gold=wanted)
+    return gold.gold_table(spark, f"{out}/gold_state", wanted)
+
+
+@query("stream_run_log", "SELECT 'silver' AS layer, count(*) AS rows, 2 AS batches FROM events")
+def _(spark, d):
+    path, schema = _event_files(spark, d)
+    out = new_path(spark, "stream-out")
+    kinds = {"event_id": "numeric", "user_id": "categorical", "event_type": "categorical", "value": "numeric", "props": "identifier"}
+    streams.stream_layers(streams.file_stream(spark, path, schema, max_files=1).drop("ts"), kinds, {}, out, new_path(spark, "chk"))
+    return spark.read.parquet(f"{out}/run_log").groupBy("layer").agg(F.sum("rows").alias("rows"), F.countDistinct("batch").cast("int").alias("batches"))
+
+
 @query(
     "stream_kpi_trend",
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS period, event_type, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, count(*) AS rows

@@ -223,19 +223,31 @@ def _(spark, d):
 
 
 # ------------------------------------------------------------------ clusters and anomalies
-@query("kmeans_best_k")
+@query("kmeans_best_k", "SELECT count(*) AS rows, round(avg(l_quantity), 1) AS l_quantity, round(avg(l_extendedprice), 0) AS l_extendedprice, true AS several_clusters FROM lineitem")
 def _(spark, d):
-    return models.kmeans_best_k(_lines(spark, d), KINDS, categories=True)[2]
+    """The profile of the best clusters, weighed together again: every row is in one of them."""
+    shape = models.kmeans_best_k(_lines(spark, d), KINDS, categories=True)[2]
+    whole = [F.sum(F.col(x) * F.col("rows")) / F.sum("rows") for x in ("l_quantity", "l_extendedprice")]
+    return shape.agg(F.sum("rows").alias("rows"), F.round(whole[0], 1).alias("l_quantity"), F.round(whole[1], 0).alias("l_extendedprice"), (F.count("*") > 1).alias("several_clusters"))
 
 
-@query("kmeans_scores")
+@query("kmeans_scores", "SELECT unnest(range(2, 7))::INT AS k, true AS in_bounds, 1 AS best_rows, true AS best_is_highest FROM (SELECT count(*) AS n FROM lineitem) WHERE n > 6")
 def _(spark, d):
-    return models.kmeans_best_k(_lines(spark, d).select("l_quantity", "l_extendedprice"), KINDS)[1]
+    scores = models.kmeans_best_k(_lines(spark, d).select("l_quantity", "l_extendedprice"), KINDS)[1]
+    whole = scores.agg(F.sum(F.col("best").cast("int")).cast("int").alias("n"), (F.max("silhouette") == F.max(F.when(F.col("best"), F.col("silhouette")))).alias("top"))
+    return scores.join(F.broadcast(whole), how="cross").select("k", F.col("silhouette").between(-1, 1).alias("in_bounds"), F.col("n").alias("best_rows"), F.col("top").alias("best_is_highest"))
 
 
-@query("isolation_forest")
+@query(
+    "isolation_forest",
+    "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, true AS flagged_by_score, true AS share_holds FROM lineitem",
+)
 def _(spark, d):
-    return models.isolation_forest(load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *NUMS), dict.fromkeys(NUMS, "numeric"))
+    """Every row once, flagged where its score is below the cut, and no more than the asked share of all rows flagged."""
+    out = models.isolation_forest(load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *NUMS), dict.fromkeys(NUMS, "numeric"))
+    share = out.agg(F.avg(F.col("is_anomaly").cast("double")).between(0.04, 0.0501).alias("share_holds"))
+    flagged = (F.col("is_anomaly") == (F.col("anomaly_score") < 0)).alias("flagged_by_score")
+    return out.select("l_orderkey", "l_linenumber", *NUMS, flagged).join(F.broadcast(share), how="cross")
 
 
 @query("most_anomalous_rows")

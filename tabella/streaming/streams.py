@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -11,6 +12,8 @@ from tabella.operators.clean import normalise_missing
 from tabella.operators.quality import gate_status, mask_pii, quality_gates
 from tabella.operators.wrangle import converted
 from tabella.session import configure
+from tabella.sources.sinks import write_counted
+from tabella.streaming.gold import Gold, advance
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_files: int = 100) -> DataFrame:
@@ -31,12 +34,13 @@ def apply_profile(df: DataFrame, profile: dict[str, str], fills: dict[str, objec
 
 def stream_layers(
     stream: DataFrame, profile: dict[str, str], fills: dict[str, object], out_dir: str, checkpoint: str,
-    pii: list[str] = (), schema: dict | None = None, salt: str = "",
+    pii: list[str] = (), schema: dict | None = None, salt: str = "", gold: Gold | None = None,
 ) -> None:
-    """Each batch of new files is gated, cleaned with the frozen profile, masked, appended.
+    """Each batch of new files is gated, cleaned with the frozen profile, masked, appended, and merged into the gold table.
 
-    A batch that fails its gate is kept apart. Each batch writes its own folder with
-    overwrite, so a batch repeated after a failure does not add its rows twice.
+    A batch that fails its gate is kept apart and leaves gold as it is. Every batch writes its layer, its checks and one row
+    of the run log into folders of its own with overwrite, and merges into the state before it, so a batch repeated after a
+    failure does not count twice. Rows are counted while they are written.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
@@ -46,7 +50,14 @@ def stream_layers(
         status = gate_status(checks).first()["status"]
         layer = "rejected" if status == "FAIL" else "silver"
         out = df if status == "FAIL" else mask_pii(apply_profile(df, profile, fills), list(pii), "hash", salt)
-        out.write.mode("overwrite").parquet(f"{out_dir}/{layer}/batch={batch_id}")
+        started = datetime.now(timezone.utc).isoformat(timespec="seconds")
+        path = f"{out_dir}/{layer}/batch={batch_id}"
+        rows = write_counted(out, path)
+        checks.coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/quality_checks/batch={batch_id}")
+        if gold is not None and layer == "silver":
+            advance(df.sparkSession.read.parquet(path), batch_id, f"{out_dir}/gold_state", gold)
+        log = df.sparkSession.createDataFrame([(started, status, layer, rows)], "started string, gate string, layer string, rows long")
+        log.coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/run_log/batch={batch_id}")
 
     run_to_end(lambda: stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
