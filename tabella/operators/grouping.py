@@ -90,7 +90,7 @@ def group_summary(
     return out
 
 
-def pivot_table(
+def pivot_long(
     df: DataFrame,
     rows: str,
     cols: str,
@@ -100,11 +100,13 @@ def pivot_table(
     period: str | None = None,
     digits: int = 3,
 ) -> DataFrame:
-    """Rows x columns table of one value, with an "All" row and column where that makes sense."""
+    """(rows, cols, ``value``): one value per pair of categories, with "All" for either or both where that makes sense.
+
+    The table is as long as there are pairs, however many categories there are; nothing about them reaches the driver.
+    """
     if date_col and period and rows == date_col:
         df, rows = with_period(df, date_col, period)
     df = df.select(c(rows).cast("string").alias(rows), c(cols).cast("string").alias(cols), c(value)).dropna()
-    heads = [r[0] for r in df.select(c(cols)).distinct().orderBy(c(cols)).collect()]
     if func not in MARGIN_FUNCS:
         long = grouped(df, [rows, cols], [(value, func, "_v")])
     elif func == "median" and not few_rows(df):
@@ -126,9 +128,36 @@ def pivot_table(
             F.when(F.col("_gc") == 1, "All").otherwise(c(cols)).alias(cols),
             "_v",
         )
-    if func in MARGIN_FUNCS:
-        heads = heads + ["All"]
-    return round_numbers(long.groupBy(c(rows)).pivot(cols, heads).agg(F.first("_v")), digits).orderBy(c(rows))
+    return round_numbers(long.select(c(rows), c(cols), F.col("_v").alias("value")), digits)
+
+
+def pivot_table(
+    df: DataFrame,
+    rows: str,
+    cols: str,
+    value: str,
+    heads: list[str],
+    func: str = "sum",
+    date_col: str | None = None,
+    period: str | None = None,
+    digits: int = 3,
+) -> DataFrame:
+    """``pivot_long`` as a wide table with a column for each of ``heads``, and "All" where that makes sense.
+
+    The caller names the columns; "All" counts every category, named or not. ``column_heads`` lists them where there are few.
+    """
+    long = pivot_long(df, rows, cols, value, func, date_col, period, digits)
+    named = [*heads, *(["All"] if func in MARGIN_FUNCS else [])]
+    key = next(x for x in long.columns if x not in (cols, "value"))
+    return long.groupBy(c(key)).pivot(cols, named).agg(F.first("value")).orderBy(c(key))
+
+
+def column_heads(df: DataFrame, col: str, most: int = 1_000) -> list[str]:
+    """The categories of a column in order; an error where there are more than ``most``, which no wide table should have."""
+    some = df.select(c(col).cast("string").alias("v")).dropna().distinct().limit(most + 1).collect()
+    if len(some) > most:
+        raise ValueError(f"'{col}' has more than {most} categories: use the long form, or name the columns.")
+    return sorted(r["v"] for r in some)
 
 
 def rollup_min_mean_max(df: DataFrame, date_col: str, values: list[str]) -> DataFrame:

@@ -8,17 +8,17 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabella.functions.ordering import add_position
 from tabella.functions.quantiles import column_quantiles, many_quantiles
-from tabella.functions.scalar import c, number
+from tabella.functions.scalar import c, join_keys, number
 from tabella.operators.describe import bin_index, category_counts
 from tabella.operators.profile import ordinal_orders, ordinal_rank, wide_agg
 from tabella.operators.stats import normality_k2
-from tabella.session import cheap_to_cache, spool
+from tabella.session import cheap_to_cache, spool, stage
 
 LOW_MEDIUM_HIGH = ["Low", "Medium", "High"]
 QUANTILES = 1000
@@ -46,9 +46,26 @@ def bin_numeric(
     return df.withColumn(out or f"{col}_bin", F.get(names, bin_index(v, edges)))
 
 
-def one_hot(df: DataFrame, col: str) -> DataFrame:
-    """One 0/1 column per category."""
-    values = [r["value"] for r in category_counts(df, col).orderBy("value").collect()]
+def category_places(df: DataFrame, col: str) -> DataFrame:
+    """(``value``, ``place``): every category with its place from 0 in sorted order, numbered over ranges where there are many."""
+    values = df.select(c(col).cast("string").alias("value")).dropna().distinct()
+    return add_position(values, [], "value", None, "place").withColumn("place", (F.col("place") - 1).cast("int"))
+
+
+def one_hot_sparse(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+    """A sparse 0/1 vector with an entry per category; a missing value has none. Only the number of categories reaches the driver."""
+    out = out or f"{col}_vector"
+    places = stage(category_places(df, col), "places")
+    size = places.count()
+    coded = join_keys(df.withColumn("_value", c(col).cast("string")), places.withColumnRenamed("value", "_value"), ["_value"])
+    flags = OneHotEncoder(inputCol="place", outputCol=out, dropLast=True, handleInvalid="keep")
+    coded = coded.withColumn("place", F.coalesce("place", F.lit(size)))
+    known = df.sparkSession.range(max(size, 1)).select(F.col("id").cast("int").alias("place"))
+    return flags.fit(known).transform(coded).drop("_value", "place")
+
+
+def one_hot(df: DataFrame, col: str, values: list[str]) -> DataFrame:
+    """One 0/1 column for each of ``values``, which the caller names; see ``one_hot_sparse`` for all of many categories."""
     text = c(col).cast("string")
     return df.withColumns({f"{col}_{v}": F.coalesce((text == F.lit(v)).cast("int"), F.lit(0)) for v in values})
 

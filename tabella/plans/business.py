@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabella.operators import basket, chart_tables, forecast, kpi, prepare, profile, standardize, text
@@ -33,7 +34,17 @@ def _(spark, d):
     """SELECT o_orderkey, o_orderstatus, CAST(o_orderstatus = 'F' AS INT) AS "o_orderstatus_F", CAST(o_orderstatus = 'O' AS INT) AS "o_orderstatus_O", CAST(o_orderstatus = 'P' AS INT) AS "o_orderstatus_P" FROM orders""",
 )
 def _(spark, d):
-    return prepare.one_hot(load(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus")
+    return prepare.one_hot(load(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "O", "P"])
+
+
+@query(
+    "one_hot_sparse",
+    """WITH p AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS place FROM (SELECT DISTINCT p_type FROM part)) SELECT p_partkey, p.place::INT AS entry, 1.0::DOUBLE AS held, (SELECT count(*) FROM p)::INT AS entries FROM part JOIN p USING (p_type)""",
+)
+def _(spark, d):
+    out = prepare.one_hot_sparse(load(spark, d, "part").select("p_partkey", "p_type"), "p_type", "v")
+    v = vector_to_array("v")
+    return out.select("p_partkey", (F.array_position(v, F.lit(1.0)) - 1).cast("int").alias("entry"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("held"), F.size(v).alias("entries"))
 
 
 @query(

@@ -122,7 +122,15 @@ def _(spark, d):
       SELECT o_orderpriority, max(n) FILTER (s = 'F') AS "F", max(n) FILTER (s = 'O') AS "O", max(n) FILTER (s = 'P') AS "P", max(n) FILTER (s = 'Total') AS "Total" FROM c GROUP BY 1""",
 )
 def _(spark, d):
-    return describe.crosstab(load(spark, d, "orders"), "o_orderpriority", "o_orderstatus")
+    return describe.crosstab(load(spark, d, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
+
+
+@query(
+    "crosstab_long",
+    """SELECT coalesce(p_brand, 'Total') AS p_brand, coalesce(p_type, 'Total') AS p_type, count(*) AS value FROM part GROUP BY CUBE (p_brand, p_type)""",
+)
+def _(spark, d):
+    return describe.crosstab_long(load(spark, d, "part"), "p_brand", "p_type")
 
 
 @query(
@@ -131,7 +139,7 @@ def _(spark, d):
       SELECT o_orderpriority, max(v) FILTER (s = 'F') AS "F", max(v) FILTER (s = 'O') AS "O", max(v) FILTER (s = 'P') AS "P" FROM p GROUP BY 1""",
 )
 def _(spark, d):
-    return describe.crosstab(load(spark, d, "orders"), "o_orderpriority", "o_orderstatus", "index")
+    return describe.crosstab(load(spark, d, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"], "index")
 
 
 @query(
@@ -272,7 +280,7 @@ def _chi_cte(a, b, table):
 
 @query("chi_square_independence", _test_sql("chi-square independence", _chi_cte("o_orderpriority", "o_orderstatus", "orders"), chi2_tail("st", "stat", "dof", "stat, dof")))
 def _(spark, d):
-    return _tested(stats.chi_square_independence(load(spark, d, "orders"), "o_orderpriority", "o_orderstatus"))
+    return _tested(stats.chi_square_independence(load(spark, d, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"]))
 
 
 @query(

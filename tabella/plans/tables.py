@@ -485,7 +485,15 @@ def _(spark, d):
        FROM c GROUP BY l_returnflag""",
 )
 def _(spark, d):
-    return grouping.pivot_table(load(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice", "median")
+    return grouping.pivot_table(load(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice", ["F", "O"], "median")
+
+
+@query(
+    "pivot_long",
+    """SELECT coalesce(c_mktsegment, 'All') AS c_mktsegment, coalesce(c_nationkey::VARCHAR, 'All') AS c_nationkey, round(avg(c_acctbal), 3) AS value FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)""",
+)
+def _(spark, d):
+    return grouping.pivot_long(load(spark, d, "customer"), "c_mktsegment", "c_nationkey", "c_acctbal", "mean")
 
 
 @query(
@@ -496,7 +504,7 @@ def _(spark, d):
        round(max(v) FILTER (s = 'All'), 3) AS "All" FROM c GROUP BY yr""",
 )
 def _(spark, d):
-    return grouping.pivot_table(load(spark, d, "orders"), "o_orderdate", "o_orderstatus", "o_totalprice", "sum", "o_orderdate", "Year")
+    return grouping.pivot_table(load(spark, d, "orders"), "o_orderdate", "o_orderstatus", "o_totalprice", ["F", "O", "P"], "sum", "o_orderdate", "Year")
 
 
 @query(

@@ -1,8 +1,9 @@
 """What reaches the scan, and where the shuffles are."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from tabella.operators import basket, grouping, kpi, wrangle
+from tabella.operators import basket, describe, grouping, kpi, prepare, wrangle
 from tabella.session import load
 
 
@@ -38,3 +39,27 @@ def test_baskets_read_two_columns(spark, small_data):
 def test_rollup_is_one_scan(spark, small_data):
     text = plan(grouping.rollup_min_mean_max(load(spark, small_data, "orders"), "o_orderdate", ["o_totalprice"]))
     assert text.count("FileScan") == 1 and F is not None
+
+
+def test_long_and_sparse_forms_collect_no_categories(spark, monkeypatch):
+    """A thousand categories and more in both columns: no form brings them to the driver; a wide table takes named columns only."""
+    df = spark.range(5000).select((F.col("id") % 1700).cast("string").alias("a"), (F.col("id") % 2100).cast("string").alias("b"), F.col("id").cast("double").alias("v"))
+    frame = type(df)
+    for name in ("collect", "toPandas", "toLocalIterator", "take", "head"):
+        monkeypatch.setattr(frame, name, lambda *_a, **_k: pytest.fail("rows came to the driver"))
+    long = grouping.pivot_long(df, "a", "b", "v", "sum"), describe.crosstab_long(df, "a", "b"), grouping.pivot_table(df, "a", "b", "v", ["1", "2"]), describe.crosstab(df, "a", "b", ["7"])
+    sparse = prepare.one_hot_sparse(df, "a", "x")
+    monkeypatch.undo()
+    assert long[0].count() == 1 + 1700 + 2100 + 5000 and long[1].count() == 1 + 1700 + 2100 + 5000
+    assert long[2].columns == ["a", "1", "2", "All"] and long[3].columns == ["a", "7", "Total"]
+    row = sparse.where("a = '10'").first()["x"]
+    assert row.size == 1700 and list(row.values) == [1.0]
+    with pytest.raises(ValueError, match="more than"):
+        grouping.column_heads(df, "a")
+    assert grouping.column_heads(df.where("v < 3"), "a") == ["0", "1", "2"]
+
+
+def test_sparse_vector_of_missing_values(spark):
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "i int, c string")
+    got = {r["i"]: list(r["c_vector"].toArray()) for r in prepare.one_hot_sparse(df, "c").collect()}
+    assert got == {1: [0, 1], 2: [0, 0], 3: [1, 0], 4: [0, 1]}
