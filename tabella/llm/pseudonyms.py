@@ -4,6 +4,14 @@ A value is found by pattern, validated (check digits, ranges, the calendar), num
 format and permuted there by a Feistel network with cycle walking. So a card stays a valid card of the same length, a date a
 date in the same notation, and equal values get equal pseudonyms in all documents without any shared table. Whoever holds the
 key can undo it; nobody else can.
+
+A date has one pseudonym in all notations: year first (``-`` or ``/``), day first and, where the day is after the 12th, month
+first. Days after the 12th stay after it, the others don't pass it, so that the notation reads as before; undoing restores the
+date, perhaps with leading zeros. Addresses that differ in case only are linked. What stays in clear: the host of an e-mail
+address and the country of an IBAN or phone, dates with month names or two-digit years, numbers without a country code other
+than ten digits in three groups, IBANs in lower case, IPv6 addresses and social security numbers without hyphens.
+
+Every pattern starts at the beginning of a run of its characters only, so the search is linear in the text.
 """
 
 from __future__ import annotations
@@ -23,13 +31,13 @@ ROUNDS = 10
 KINDS = ("email", "iban", "ip", "card", "ssn", "phone", "date")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.A),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.A),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A),
     "ip": re.compile(rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)", re.A),
-    "card": re.compile(r"(?<!\d)(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?!\d)", re.A),
+    "card": re.compile(r"(?<![\d+])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?!\d)", re.A),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.A),
     "phone": re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+])\+\d{1,3}[ .-]\d(?:[ .-]\d{2,4}){2,4}(?!\d)", re.A),
-    "date": re.compile(r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([/.])\d{1,2}\1\d{4})(?![\d/-]|\.\d)", re.A),
+    "date": re.compile(r"(?<![\d/.-])(?:\d{4}([/-])\d{2}\1\d{2}|\d{1,2}([/.-])\d{1,2}\2\d{4})(?![\d/-]|\.\d)", re.A),
 }
 _ANY = re.compile(r"[0-9@]")
 #: Characters of an IBAN by country.
@@ -44,9 +52,9 @@ _FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 
 @cache
-def _late_days() -> tuple[int, ...]:
-    """Days after the 12th of a month: those whose notation month first can't be read day first."""
-    return tuple(n for n in range(_FIRST, _LAST + 1) if date.fromordinal(n).day > 12)
+def _days(late: bool) -> tuple[int, ...]:
+    """The days after the 12th of a month, or those up to it. Only the former can be written month first without being read day first."""
+    return tuple(n for n in range(_FIRST, _LAST + 1) if (date.fromordinal(n).day > 12) == late)
 
 
 class Permutation:
@@ -176,37 +184,32 @@ def _iban(text, move):
 
 def _email(text, move):
     local, _, host = text.partition("@")
-    shape, value, size = _classes(local)
-    return f"{_spell(shape, move(value, size, f'email{shape}@{host}'))}@{host}"
+    shape, value, size = _classes(local.lower())
+    new = _spell(shape, move(value, size, f"email{shape}@{host.lower()}"))
+    return "".join(n.upper() if c.isupper() else n for c, n in zip(local, new)) + "@" + host
 
 
 def _date(text, move):
-    iso = "-" in text
-    mark = "-" if iso else re.search(r"[/.]", text)[0]
-    a, b, c = (int(x) for x in text.split(mark))
-    early = False
+    mark = re.search(r"[/.-]", text)[0]
+    parts = text.split(mark)
+    a, b, c = map(int, parts)
+    year_first = len(parts[0]) == 4
+    month_first = not year_first and b > 12
     try:
-        if iso:
-            day = date(a, b, c)
-        elif b <= 12:
-            day = date(c, b, a)
-        else:
-            day, early = date(c, a, b), True
+        day = date(a, b, c) if year_first else date(c, a, b) if month_first else date(c, b, a)
     except ValueError:
         return None
     n = day.toordinal()
     if not _FIRST <= n <= _LAST:
         return None
-    if early:
-        days = _late_days()
-        day = date.fromordinal(days[move(bisect_left(days, n), len(days), "late")])
-    else:
-        day = date.fromordinal(_FIRST + move(n - _FIRST, _LAST - _FIRST + 1, "date"))
-    if iso:
-        return day.isoformat()
-    wide = all(len(x) == 2 for x in text.split(mark)[:2])
-    x, y = (day.month, day.day) if early else (day.day, day.month)
-    return mark.join([f"{x:02d}" if wide else str(x), f"{y:02d}" if wide else str(y), str(day.year)])
+    late = day.day > 12
+    days = _days(late)  # of one class, so that the new date can be written, and read, the same way
+    day = date.fromordinal(days[move(bisect_left(days, n), len(days), "late" if late else "early")])
+    if year_first:
+        return f"{day.year:04d}{mark}{day.month:02d}{mark}{day.day:02d}"
+    wide = all(len(x) == 2 for x in parts[:2])
+    two = (day.month, day.day) if month_first else (day.day, day.month)
+    return mark.join([*(f"{x:02d}" if wide else str(x) for x in two), str(day.year)])
 
 
 _MAKE = {"email": _email, "iban": _iban, "ip": _ip, "card": _card, "ssn": _ssn, "phone": _phone, "date": _date}
@@ -258,9 +261,12 @@ def replace(text: str, permutation: Permutation, back: bool = False) -> tuple[st
                 found.append((start, end, kind, new))
                 refused, at = [], end
                 break
+        taken, last = [], 0
         for start, end, was, _ in found:
             if was == kind:
-                rest = rest[:start] + "\0" * (end - start) + rest[end:]
+                taken += [rest[last:start], "\0" * (end - start)]
+                last = end
+        rest = "".join([*taken, rest[last:]]) if taken else rest
     found.sort()
     out, last = [], 0
     for start, end, _, new in found:

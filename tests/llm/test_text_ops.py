@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -311,6 +312,53 @@ def test_invalid_values_stay():
         assert pseudonyms.replace(text, p) == (text, [])
 
 
+@pytest.mark.parametrize("run", ["a", "1", "1.", "1-", "a@", "+", "+1 ", "a.", "A1", "12/", "(", "1 ", "aA1."])
+def test_long_unbroken_runs_take_linear_time(run):
+    p = pseudonyms.Permutation(b"key")
+    text = run * (1_000_000 // len(run)) + " 1 bob@example.com"
+    begun = time.perf_counter()
+    new, spans = pseudonyms.replace(text, p)
+    assert time.perf_counter() - begun < 5
+    assert spans[-1][0] == "email" and "bob@" not in new
+
+
+def test_many_values_in_one_text_take_linear_time():
+    p = pseudonyms.Permutation(b"key")
+    text = "on 2001-01-13 " * 40_000
+    begun = time.perf_counter()
+    new, spans = pseudonyms.replace(text, p)
+    assert time.perf_counter() - begun < 20 and len(spans) == 40_000 and len(set(new.split()[1::2])) == 1
+
+
+@pytest.mark.parametrize("year,month,day", [(2001, 1, 13), (2001, 1, 12), (1999, 12, 31), (2024, 2, 29), (2024, 5, 1)])
+def test_one_date_has_one_pseudonym_in_all_notations(year, month, day):
+    p = pseudonyms.Permutation(b"key")
+    iso = pseudonyms.replace(f"{year}-{month:02d}-{day:02d}", p)[0]
+    y, m, d = iso.split("-")
+    assert iso != f"{year}-{month:02d}-{day:02d}" and (int(d) > 12) == (day > 12)
+    for mark in "/.-":
+        day_first = f"{day:02d}{mark}{month:02d}{mark}{year}"
+        assert pseudonyms.replace(day_first, p)[0] == mark.join((d, m, y)) and pseudonyms.replace(mark.join((d, m, y)), p, back=True)[0] == day_first
+        if day > 12:
+            month_first = f"{month:02d}{mark}{day:02d}{mark}{year}"
+            assert pseudonyms.replace(month_first, p)[0] == mark.join((m, d, y)) and pseudonyms.replace(mark.join((m, d, y)), p, back=True)[0] == month_first
+    assert pseudonyms.replace(f"{year}/{month:02d}/{day:02d}", p)[0] == f"{y}/{m}/{d}"
+
+
+def test_addresses_that_differ_in_case_are_linked():
+    p = pseudonyms.Permutation(b"key")
+    low, high = (pseudonyms.replace(x, p)[0] for x in ("bob.smith7@x.com", "Bob.SMITH7@X.com"))
+    assert low.lower() == high.lower() and low != high and not low.startswith("bob.smith7")
+    assert pseudonyms.replace(high, p, back=True)[0] == "Bob.SMITH7@X.com"
+
+
+def test_a_phone_with_its_country_code_is_no_card():
+    p = pseudonyms.Permutation(b"key")
+    for n in range(4915112345670, 4915112345680):
+        new, spans = pseudonyms.replace(f"call +{n}", p)
+        assert spans[0][0] == "phone" and pseudonyms.replace(new, p, back=True)[0] == f"call +{n}"
+
+
 def test_pseudonyms_keep_all_columns(messy, none, spark):
     out = pseudonyms.pseudonymize(messy, "key")
     assert out.columns == messy.columns and sorted(map(str, out.collect())) == sorted(map(str, messy.collect()))
