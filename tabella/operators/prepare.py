@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, VectorAssembl
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabella.functions.distributions import normal_quantile
 from tabella.functions.ordering import add_position
 from tabella.functions.quantiles import column_quantiles, many_quantiles
 from tabella.functions.scalar import c, join_keys, number
@@ -253,8 +253,7 @@ def _normal_scores(edges: list[float]):
         p = 0.5 * (np.interp(x, knots, shares) - np.interp(-x, -knots[::-1], -shares[::-1]))
         ok = ~np.isnan(p)
         out = np.full(len(p), np.nan)
-        normal = NormalDist()
-        out[ok] = [normal.inv_cdf(x) for x in np.clip(p[ok], EDGE, 1 - EDGE)]
+        out[ok] = normal_quantile(np.clip(p[ok], EDGE, 1 - EDGE))
         return pd.Series(out)
 
     return scores

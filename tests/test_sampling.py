@@ -140,3 +140,14 @@ def test_importance_of_two_classes_uses_the_curve(spark):
     df = spark.createDataFrame(pd.DataFrame({"y": np.where(x[:, 0] > 1, "yes", "no"), "x": x[:, 0], "noise": x[:, 1]}))
     got = {r["column_name"]: r for r in models.model_importance(df, "y", ["x", "noise"], True, trees=10, repeats=2).collect()}
     assert got["x"]["permutation_drop"] > 0.3 and abs(got["noise"]["permutation_drop"]) < 0.1
+
+
+def test_normal_quantiles_of_a_whole_array():
+    from statistics import NormalDist
+
+    from tabella.functions.distributions import normal_quantile
+
+    p = np.concatenate([np.linspace(0.0001, 0.9999, 2001), [1e-7, 1e-12, 1e-300, 1 - 1e-12, 0.075, 0.925, 0.5]])
+    want = np.array([NormalDist().inv_cdf(x) for x in p])
+    assert np.allclose(normal_quantile(p), want, rtol=1e-13, atol=1e-14)
+    assert np.isnan(normal_quantile(np.array([0.0, 1.0, -1.0, np.nan]))).all()
