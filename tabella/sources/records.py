@@ -142,12 +142,12 @@ def _unrooted(stated: DataFrame) -> DataFrame:
 
 
 def json_records(spark: SparkSession, path: str, start: str) -> DataFrame | None:
-    """``value``: one row per object of a JSON array, of objects one behind the other, or of the longest list of objects in a
+    """``value``: one row per object, in the order of the file, of a JSON array, of objects one behind the other, or of the longest list of objects in a
     file that is one object. None if that one object holds no list of objects. ``start`` is what ``json_start`` gives."""
     stated = stage(_stated(_pieces(spark, path, "}", "UTF-8"), _json_piece), "json-pieces")
     outer = _outermost(stated)
     if not start.startswith("{") or outer.where("_opens").limit(2).count() != 1:
-        return _objects(outer).select("value")
+        return _objects(outer).orderBy("file", "range", "at").select("value")
     # Objects of one list follow each other with commas between; the first of a list, and a single object, come behind a key.
     inner = _outermost(_unrooted(stated))
     keyed = F.col("_opens") & (F.regexp_extract("_lead", _KEY, 0) != "")
@@ -158,4 +158,4 @@ def json_records(spark: SparkSession, path: str, start: str) -> DataFrame | None
     longest = lists.where(F.col("bracket") == "[").orderBy(F.desc("n"), "_list").first()
     if longest is None:
         return None
-    return _objects(inner.where(F.col("_list") == longest["_list"])).select("value")
+    return _objects(inner.where(F.col("_list") == longest["_list"])).orderBy("file", "range", "at").select("value")
