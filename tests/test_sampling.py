@@ -151,3 +151,17 @@ def test_normal_quantiles_of_a_whole_array():
     want = np.array([NormalDist().inv_cdf(x) for x in p])
     assert np.allclose(normal_quantile(p), want, rtol=1e-13, atol=1e-14)
     assert np.isnan(normal_quantile(np.array([0.0, 1.0, -1.0, np.nan]))).all()
+
+
+def test_comparisons_with_few_trees(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((400, 2))
+    df = spark.createDataFrame(pd.DataFrame({"kind": np.where(x[:, 0] > 0.5, "yes", "no"), "cost": 3 * x[:, 0] + 0.1 * x[:, 1], "x": x[:, 0], "z": x[:, 1]}))
+    got = models.compare_regressors(df, "cost", ["x", "z"], trees=5, penalties=3, folds=2).collect()
+    assert len(got) == 7 and [r["best"] for r in got] == [True] + [False] * 6 and got[0]["model"] == "linear" and got[0]["cv_rmse"] < 0.01
+    assert [r["rmse"] for r in got] == sorted(r["rmse"] for r in got)
+    got = models.compare_classifiers(df, "kind", ["x", "z"], trees=5, folds=3, only=["logistic", "tree", "forest", "boosting"]).collect()
+    assert len(got) == 4 and sum(r["best"] for r in got) == 1 and all(r["cv_accuracy"] > 0.9 and r["f1"] > 0.9 for r in got)
+    one = df.withColumn("kind", F.when(F.col("x") == df.agg(F.max("x")).first()[0], "rare").otherwise("usual"))
+    got = models.compare_classifiers(one, "kind", ["x", "z"], only=["tree"]).collect()
+    assert got[0]["cv_accuracy"] is None
