@@ -108,9 +108,19 @@ def _(spark, d):
     return _round(prepare.fitted_params(df, prepare.fit_gaussian(df, ["c_acctbal"], "yeo-johnson")), 3, "lambda")
 
 
-@query("quantile_to_normal")
+@query(
+    "quantile_to_normal",
+    """SELECT event_id, value IS NULL AS is_missing, true AS in_order, true AS in_bounds, true AS looks_normal FROM events""",
+)
 def _(spark, d):
-    return prepare.quantile_to_normal(load(spark, d, "events").select("event_id", "value"), "value")
+    """Scores keep the order of the values (none is below that of a smaller value), lie within five deviations and are centred with spread one."""
+    df = load(spark, d, "events").select("event_id", "value")
+    scores = prepare.quantile_to_normal(df, "value").withColumnRenamed("value", "score").join(df, "event_id")
+    bands = scores.dropna().groupBy(F.floor("value").alias("band")).agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    wrong = bands.alias("a").join(bands.alias("b"), F.col("b.band") == F.col("a.band") + 1).where("b.low < a.high").count()
+    centre = scores.agg(F.avg("score").alias("m"), F.stddev("score").alias("s")).first()
+    normal = abs(centre["m"]) < 0.05 and 0.9 < centre["s"] < 1.1
+    return scores.select("event_id", F.col("value").isNull().alias("is_missing"), F.lit(wrong == 0).alias("in_order"), F.coalesce(F.col("score").between(-5.3, 5.3), F.lit(True)).alias("in_bounds"), F.lit(normal).alias("looks_normal"))
 
 
 @query("map_to_gaussian")
@@ -153,6 +163,28 @@ def _(spark, d):
     return scores.select("l_orderkey", "l_linenumber", F.round(F.abs("PC1"), 4).alias("first_size"), F.round(F.abs("PC2"), 4).alias("second_size"))
 
 
+def _z(x):
+    return f"(l_{x} - avg(l_{x}) OVER ()) / stddev_samp(l_{x}) OVER ()"
+
+
+@query(
+    "pca_reduced",
+    f"""WITH s AS (SELECT l_orderkey, l_linenumber, {_z("quantity")} AS a, {_z("extendedprice")} AS b, {_z("discount")} AS c, {_z("tax")} AS d FROM lineitem)
+       SELECT l_orderkey, l_linenumber, round(a * a + b * b + c * c + d * d, 3) AS whole_length, true AS two_are_shorter, true AS two_explain_their_share FROM s""",
+)
+def _(spark, d):
+    """Four columns turned (each row keeps its length, so the axes are orthogonal) and reduced to two that hold what they explain."""
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    df = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *cols)
+    whole = prepare.pca(df, cols, 4)[2]
+    share, _, two = prepare.pca(df, cols, 2)
+    explained = share.agg(F.sum("explained_pct")).first()[0]
+    held = two.agg(100 * (F.var_samp("PC1") + F.var_samp("PC2")) / len(cols)).first()[0]
+    part = F.col("PC1") * F.col("PC1") + F.col("PC2") * F.col("PC2")
+    length = part + F.col("PC3") * F.col("PC3") + F.col("PC4") * F.col("PC4")
+    return whole.select("l_orderkey", "l_linenumber", F.round(length, 3).alias("whole_length"), (part <= length + 1e-9).alias("two_are_shorter"), F.lit(abs(explained - held) < 0.02).alias("two_explain_their_share"))
+
+
 # ------------------------------------------------------------------ chart tables
 @query(
     "histogram_bins",
