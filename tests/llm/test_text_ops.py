@@ -312,6 +312,21 @@ def test_invalid_values_stay():
         assert pseudonyms.replace(text, p) == (text, [])
 
 
+@pytest.mark.parametrize("text", ["", "²", "½ Ⅷ ①", "12 ٣ १", "!? _ -", "\U0001f600"])
+def test_texts_of_numerals_have_no_language(spark, text):
+    model = language.Model(["de", "en"], language.codebook(2), np.ones((language.Settings().features, 1)), np.zeros(1), np.ones(1))
+    assert not any(c.isalpha() for c in text)
+    docs = spark.createDataFrame([(1, text), (2, text + " ß")], "doc_id long, text string")
+    got = {r["id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, model).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] in ("de", "en") and got[2][1] > 0
+
+
+def test_many_languages_share_one_sample(spark):
+    rows = [(i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26 % 26) * 3} " * 5, f"l{i % 600:03d}") for i in range(2400)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), how=language.Settings(per_language=2, sample=900, features=64, rounds=3))
+    assert len(model.languages) == 600 and model.codes.shape[0] == 600
+
+
 @pytest.mark.parametrize("run", ["a", "1", "1.", "1-", "a@", "+", "+1 ", "a.", "A1", "12/", "(", "1 ", "aA1."])
 def test_long_unbroken_runs_take_linear_time(run):
     p = pseudonyms.Permutation(b"key")
