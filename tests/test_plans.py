@@ -63,3 +63,16 @@ def test_sparse_vector_of_missing_values(spark):
     df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "i int, c string")
     got = {r["i"]: list(r["c_vector"].toArray()) for r in prepare.one_hot_sparse(df, "c").collect()}
     assert got == {1: [0, 1], 2: [0, 0], 3: [1, 0], 4: [0, 1]}
+
+
+def test_chi_square_query_on_given_rows(spark, tmp_path):
+    from tabella.plans import registry
+
+    registry.load_all()
+    rows = [(p, s) for p, s, n in [("1", "F", 10), ("1", "O", 20), ("2", "F", 30), ("2", "O", 5), ("3", "P", 1), (None, "F", 4)] for _ in range(n)]
+    spark.createDataFrame(rows, "o_orderpriority string, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = registry.QUERIES["chi_square_independence"](spark, str(tmp_path)).first()
+    table = [[10, 20, 0], [30, 5, 0], [0, 0, 1]]
+    right, down, n = [sum(r) for r in table], [sum(r) for r in zip(*table)], sum(map(sum, table))
+    want = sum((table[i][j] - right[i] * down[j] / n) ** 2 / (right[i] * down[j] / n) for i in range(3) for j in range(3))
+    assert abs(got["statistic"] - want) < 1e-5 and got["dof"] == 4
