@@ -68,8 +68,9 @@ def _as_arrays(records):
     def run(batches):
         lead = "["
         for batch in batches:
-            for row in batch["value"]:
-                yield pd.DataFrame({"value": [lead + row.replace(",", ",\n", 1)]})
+            if len(batch):
+                first, *rest = [row.replace(",", ",\n", 1) for row in batch["value"]]
+                yield pd.DataFrame({"value": [lead + first, *["," + row for row in rest]]})
                 lead = ","
         yield pd.DataFrame({"value": ["[]" if lead == "[" else "]"]})
 
