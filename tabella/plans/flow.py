@@ -11,7 +11,7 @@ from tabella.operators import joins, layers, quality, profile
 from tabella.operators.clean import clean_table
 from tabella.plans.inputs import CLEAN_SQL, LOADED_SQL, day_text, gap_orders, loaded_orders, messy_orders
 from tabella.plans.registry import query
-from tabella.session import load, new_path
+from tabella.session import load, new_path, split_count
 from tabella.sources import awards, files, sinks
 from tabella.streaming import gold, streams
 
@@ -342,7 +342,7 @@ def _(spark, d):
     first = li.agg(F.min("l_orderkey")).first()[0]
     edited = li.withColumn("l_quantity", F.col("l_quantity") + ((F.col("l_orderkey") == first) & (F.col("l_linenumber") == 1)).cast("int"))
     code = lambda df: quality.fingerprint(df).first()["fingerprint"]
-    moved, other, renamed = code(li.repartition(5, "l_tax")), code(edited), code(li.withColumnRenamed("l_tax", "tax"))
+    moved, other, renamed = code(li.repartition(max(5, split_count(li)))), code(edited), code(li.withColumnRenamed("l_tax", "tax"))
     mark = F.col("fingerprint")
     return quality.fingerprint(li).select("row_count", (mark == moved).alias("same_in_any_order"), (mark != other).alias("other_after_an_edit"), (mark != renamed).alias("other_after_a_rename"))
 
