@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabella.functions.distributions import normal_quantile
 from tabella.functions.ordering import add_position
@@ -153,32 +155,70 @@ class _Search:
 def fit_lambdas(df: DataFrame, methods: dict[str, str], points: int = 16) -> dict[str, float]:
     """Maximum-likelihood exponents of several columns.
 
-    Each pass pairs every value with a small grid of exponents and sums per
-    (column, exponent) before the shuffle; the next grid lies around the best
-    point, and a parabola through the last three finishes it.
+    Each pass sums every column's values under a small grid of exponents, whole
+    batches at a time in the task that reads them; the next grid lies around the
+    best point, and a parabola through the last three finishes it.
     """
     names = list(methods)
-    cells = F.array(*[F.struct(F.lit(i).alias("k"), number(df, x).alias("v")) for i, x in enumerate(names)])
-    flat = spool(df.select(F.inline(cells)).where("v is not null"), "powers", cheap_to_cache(df))
-    box = F.col("k").isin([i for i, x in enumerate(names) if methods[x] == "box-cox"])
-    value = F.when(box, box_cox_value(F.col("v"), F.col("g"))).otherwise(yeo_johnson_value(F.col("v"), F.col("g")))
-    weight = F.when(box, F.ln("v")).otherwise(F.signum("v") * F.log1p(F.abs("v")))
+    flat = spool(df.select(*[number(df, x).alias(f"v{i}") for i, x in enumerate(names)]), "powers", cheap_to_cache(df))
     state = {x: _Search(m) for x, m in methods.items()}
     while open_ := [i for i, x in enumerate(names) if not state[x].done]:
         grids = {i: [state[names[i]].low + (state[names[i]].high - state[names[i]].low) / points * j for j in range(points + 1)] for i in open_}
-        lists = F.array(*[F.array(*[F.lit(g) for g in grids.get(i, [])]).cast("array<double>") for i in range(len(names))])
-        scored = flat.select("k", "v", F.posexplode(F.get(lists, F.col("k"))).alias("j", "g"))
-        rows = scored.groupBy("k", "j").agg(F.count("*").alias("n"), F.sum(weight).alias("w"), F.var_pop(value).alias("s2")).collect()
-        found = {(r["k"], r["j"]): r for r in rows}
+        found = _power_sums(flat, {i: (grids[i], methods[names[i]] == "box-cox") for i in open_})
         for i in open_:
             score = [
-                (g - 1) * r["w"] - r["n"] / 2 * math.log(r["s2"]) if r and r["s2"] else -math.inf
+                (g - 1) * r["w"] - r["n"] / 2 * math.log(r["s2"]) if r and r["s2"] and math.isfinite(r["s2"]) else -math.inf
                 for j, g in enumerate(grids[i]) for r in [found.get((i, j))]
             ]
             _closer(state[names[i]], grids[i], score)
     return {x: s.best for x, s in state.items()}
 
 
+def _powers(v: np.ndarray, g: float, box: bool) -> np.ndarray:
+    """Box-Cox or Yeo-Johnson of all values with one exponent."""
+    if box:
+        return np.log(v) if abs(g) < 1e-12 else np.expm1(g * np.log(v)) / g
+    up, size = v >= 0, np.log1p(np.abs(v))
+    high = size if abs(g) < 1e-12 else np.expm1(g * size) / g
+    low = -size if abs(2 - g) < 1e-12 else -np.expm1((2 - g) * size) / (2 - g)
+    return np.where(up, high, low)
+
+
+def _power_sums(flat: DataFrame, grids: dict[int, tuple[list[float], bool]]) -> dict:
+    """Per (column, place in its grid): rows ``n``, ``w`` that the exponent multiplies in the likelihood, and the variance ``s2``.
+
+    A task keeps rows, mean and squared deviations of what it has read; tasks are put together around the common mean.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = [(i, j) for i, (grid, _) in grids.items() for j in range(len(grid))]
+        sums = {key: np.zeros(4) for key in keys}  # rows, weights, mean, squared deviations
+        for batch in batches:
+            for i, (grid, box) in grids.items():
+                v = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                if not len(v):
+                    continue
+                with np.errstate(all="ignore"):
+                    weight = float((np.log(v) if box else np.sign(v) * np.log1p(np.abs(v))).sum())
+                    for j, g in enumerate(grid):
+                        made, s = _powers(v, g, box), sums[i, j]
+                        mean = made.mean()
+                        n, apart = s[0] + len(v), mean - s[2]
+                        s[3] += ((made - mean) ** 2).sum() + apart * apart * s[0] * len(v) / n
+                        s[2] += apart * len(v) / n
+                        s[0], s[1] = n, s[1] + weight
+        rows = [(*key, *sums[key]) for key in keys if sums[key][0]]
+        kinds = [pa.int32(), pa.int32(), *[pa.float64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([r[p] for r in rows], kind) for p, kind in enumerate(kinds)], ["k", "j", "n", "w", "m", "d"])
+
+    parts = flat.mapInArrow(run, "k int, j int, n double, w double, m double, d double")
+    whole = Window.partitionBy("k", "j")  # a row a task
+    parts = parts.withColumn("mean", F.sum(F.col("n") * F.col("m")).over(whole) / F.sum("n").over(whole))
+    spread = F.sum(F.col("d") + F.col("n") * (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean"))) / F.sum("n")
+    rows = parts.groupBy("k", "j").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), spread.alias("s2")).collect()  # columns x grid
+    return {(r["k"], r["j"]): r for r in rows}
+
+
 def _closer(s: _Search, grid: list[float], score: list[float]) -> None:
     top = max(range(len(grid)), key=score.__getitem__)
     step, s.best = grid[1] - grid[0], grid[top]
