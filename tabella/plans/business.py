@@ -115,7 +115,7 @@ def _(spark, d):
 def _(spark, d):
     """Scores keep the order of the values (none is below that of a smaller value), lie within five deviations and are centred with spread one."""
     df = load(spark, d, "events").select("event_id", "value")
-    scores = prepare.quantile_to_normal(df, "value").withColumnRenamed("value", "score").join(df, "event_id")
+    scores = prepare.quantile_to_normal(df.withColumn("score", F.col("value")), "score")
     bands = scores.dropna().groupBy(F.floor("value").alias("band")).agg(F.min("score").alias("low"), F.max("score").alias("high"))
     wrong = bands.alias("a").join(bands.alias("b"), F.col("b.band") == F.col("a.band") + 1).where("b.low < a.high").count()
     centre = scores.agg(F.avg("score").alias("m"), F.stddev("score").alias("s")).first()
