@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabella.functions.scalar import c, join_keys
-from tabella.session import split_count, stage
+from tabella.session import sized, split_count, stage
 
 RANGE = "_range"
 CHUNK_ROWS = 200_000
@@ -48,6 +48,7 @@ def add_running(
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+        offsets = sized(offsets, "offsets", 2)
         df = join_keys(df, offsets, cols).withColumn(out, F.col(out) + F.col("_offset")).drop("_offset")
     return df.drop("_amount", RANGE)
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabella.functions.ordering import RANGE, order_ranges
 from tabella.functions.scalar import c, join_keys, q
-from tabella.session import few_rows, split_count
+from tabella.session import few_rows, sized, split_count
 
 BRACKET_ROWS = 1_000_000
 ACCURACY = 10_000
@@ -161,7 +161,8 @@ def group_quantiles(
     ranked = _order_statistics(df, keys, value, [probs[n] for n in names], parts)
     found = ranked.groupBy(*[c(k) for k in keys]).agg(*picks)
     # Groups whose values are all missing still get a row.
-    return join_keys(df.select(*[c(k) for k in keys]).distinct(), found, keys) if keys else found
+    found = join_keys(df.select(*[c(k) for k in keys]).distinct(), found, keys) if keys else found
+    return sized(found, "quantiles", parts)
 
 
 def many_quantiles(df: DataFrame, col: str, probs: list[float], parts: int | None = None) -> list[float]:
@@ -202,6 +203,7 @@ def _order_statistics(df: DataFrame, keys: list[str], value: str, probs: list[fl
     wanted = F.concat(F.transform(index, lambda x: entry(x, 0, F.floor)), F.transform(index, lambda x: entry(x, 1, F.ceil)))
     here = lambda w: (w.getField("rank") >= F.col("_offset")) & (w.getField("rank") < F.col("_offset") + F.col("_size"))
     hits = sizes.withColumn("_ws", F.filter(wanted, here)).where(F.size("_ws") > 0).select(*[c(k) for k in cols], "_offset", "_ws")
+    hits = sized(hits, "order-statistics", parts)
     run = Window.partitionBy(*[c(k) for k in cols]).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     return (
         join_keys(counted, hits, cols, "inner")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tabella.functions.ordering import neighbourhoods
 from tabella.functions.quantiles import group_quantiles
 from tabella.functions.scalar import as_text, c, join_keys, moment, number, period_start, whole_days
-from tabella.session import split_count, spool
+from tabella.session import sized, split_count, spool
 
 # Fixed values of the method.
 MAD_SCALE = 1.4826
@@ -136,10 +136,10 @@ def standardize(
     return Standardized(rows, quality, index, summary)
 
 
-def step_change(work: DataFrame, step_window: int, step_min: float) -> DataFrame:
+def step_change(work: DataFrame, step_window: int, step_min: float, parts: int = 1) -> DataFrame:
     """The largest shift in level per series, when large enough; the first on ties."""
     shift = (F.col("_after") - F.col("_before")) / F.col("_noise")
-    per = work.groupBy("series").agg(F.count("*").alias("_rows"))
+    per = sized(work.groupBy("series").agg(F.count("*").alias("_rows")), "series-rows", parts)
     d = join_keys(work.withColumn("_shift", shift), per, ["series"])
     room = (F.col("_rows") >= 2 * step_window + 2) & (F.col("_pos") > step_window) & (F.col("_pos") <= F.col("_rows") - step_window + 1)
     d = d.where(room & F.col("_shift").isNotNull() & (F.col("_shift") != 0))
@@ -163,7 +163,7 @@ def _quality(work: DataFrame, gap_days: int, step_window: int, step_min: float,
         aggs.append(F.min_by(weight, F.when(weight.isNotNull(), F.col("_pos"))).alias("weight"))
     q = work.groupBy("series").agg(*aggs)
     q = join_keys(q, group_quantiles(work, ["series"], "_value", {"median_value": 0.5}, parts), ["series"])
-    q = join_keys(q, step_change(work, step_window, step_min), ["series"])
+    q = join_keys(q, step_change(work, step_window, step_min, parts), ["series"])
     note = F.when((F.col("_scored") == 0) & (F.col("readings") > 1), "no spread").otherwise("")
     return q.withColumn("note", note).withColumn("step_size", F.round("step_size", 2)).drop("_scored")
 
@@ -190,7 +190,7 @@ def _summary(typed: DataFrame, work: DataFrame, quality: DataFrame, source: str,
     complete = F.col("_date").isNotNull() & F.col("_value").isNotNull()
     a = typed.agg(
         F.count("*").alias("rows_in"), F.count_if(~complete).alias("dropped_missing"),
-        (F.count_if(complete & (F.col("_value") <= 0)) if log else F.lit(0)).alias("dropped_nonpositive"),
+        (F.count_if(complete & (F.col("_value") <= 0)) if log else F.lit(0).cast("long")).alias("dropped_nonpositive"),
     )
     up = F.when(F.col("_value") > 0, F.col("_value"))
     b = work.agg(
@@ -199,8 +199,4 @@ def _summary(typed: DataFrame, work: DataFrame, quality: DataFrame, source: str,
         F.coalesce(F.log10(F.max(up) / F.min(up)), F.lit(0.0)).alias("orders_of_magnitude"),
     )
     s = quality.agg(F.count("step_date").alias("step_changes"))
-    first, second, third = a.first().asDict(), b.first().asDict(), s.first().asDict()
-    row = {**first, **second, **third}
-    row["log_advised"] = row["orders_of_magnitude"] >= 3
-    names = ", ".join(f"{k} {'double' if k == 'orders_of_magnitude' else 'boolean' if k == 'log_advised' else 'long'}" for k in row)
-    return typed.sparkSession.createDataFrame([tuple(row.values())], names)
+    return a.crossJoin(b).crossJoin(s).withColumn("log_advised", F.col("orders_of_magnitude") >= 3)
