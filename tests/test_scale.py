@@ -106,3 +106,10 @@ def test_classes_are_placed_without_a_join(spark):
     flat, classes = models._indexed(df, "y", ["x"])
     assert classes == 3 and "Join" not in plan(flat)
     assert sorted(map(tuple, flat.collect())) == [(0.0, 2.0), (1.0, 1.0), (1.0, 4.0)]
+
+
+def test_two_classes_stay_two_for_every_model(spark):
+    x = np.random.default_rng(3).standard_normal((200, 2))
+    df = spark.createDataFrame(pd.DataFrame({"kind": np.where(x[:, 0] > 0, "yes", "no"), "x": x[:, 0], "z": x[:, 1]}))
+    got = models.compare_classifiers(df, "kind", ["x", "z"], trees=3, folds=2, only=["linear svm", "naive bayes", "neural network"]).collect()
+    assert len(got) == 3 and all(r["accuracy"] > 0.8 and r["cv_accuracy"] > 0.8 for r in got)
