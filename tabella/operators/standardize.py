@@ -199,4 +199,5 @@ def _summary(typed: DataFrame, work: DataFrame, quality: DataFrame, source: str,
         F.coalesce(F.log10(F.max(up) / F.min(up)), F.lit(0.0)).alias("orders_of_magnitude"),
     )
     s = quality.agg(F.count("step_date").alias("step_changes"))
-    return a.crossJoin(b).crossJoin(s).withColumn("log_advised", F.col("orders_of_magnitude") >= 3)
+    both = a.unionByName(b, allowMissingColumns=True).unionByName(s, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.max(x).alias(x) for x in both.columns]).withColumn("log_advised", F.col("orders_of_magnitude") >= 3)
