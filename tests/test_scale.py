@@ -6,7 +6,8 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Observation, functions as F
 
 from tabella.operators import models, prepare, standardize
 from tabella.operators.sampling import ColumnShuffle, permuted
@@ -101,11 +102,13 @@ def test_standardizing_collects_no_summary_and_shuffles_rows_for_no_median(split
     assert [t for _, t in out.summary.dtypes] == ["bigint"] * 8 + ["double", "bigint", "boolean"]
 
 
-def test_classes_are_placed_without_a_join(spark):
-    df = spark.createDataFrame([("b", 1.0), ("a", 2.0), (None, 3.0), ("c", None), ("b", 4.0)], "y string, x double")
-    flat, classes = models._indexed(df, "y", ["x"])
-    assert classes == 3 and "Join" not in plan(flat)
-    assert sorted(map(tuple, flat.collect())) == [(0.0, 2.0), (1.0, 1.0), (1.0, 4.0)]
+def test_models_reach_the_tasks_after_an_observation(spark):
+    spark.range(3).observe(Observation("seen"), F.count("*").alias("n")).collect()
+    rows = [(float(i % 2), Vectors.dense([float(i % 2), float(i % 3)])) for i in range(60)]
+    df = spark.createDataFrame(rows, ["label", "features"]).withColumn("weight", F.lit(1.0))
+    made = models.classifiers(2, 2, 3)
+    for model in (made["logistic"], made["forest"], made["linear svm"], models._forest(True, 3, 2)):
+        assert all(r["label"] == r["prediction"] for r in model.fit(df).transform(df).select("label", "prediction").collect())
 
 
 def test_two_classes_stay_two_for_every_model(spark):
