@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabella.functions.ordering import top_rows
@@ -25,6 +27,8 @@ WORD = r"[a-z][a-z']+"
 HYPHEN_WORD = r"[a-z][a-z'-]+"
 SCALE = 15.0
 EDGE = 0.05
+#: Bytes of text whose pairs of words one task counts.
+PART_BYTES = 6 << 20
 
 
 def words(col: Column, pattern: str = WORD) -> Column:
@@ -65,11 +69,15 @@ def _top_words(one: DataFrame, top: int) -> DataFrame:
 
 def phrase_counts(df: DataFrame, col: str, top: int = 15) -> DataFrame:
     """Pairs of neighbouring kept words that occur more than once."""
-    df = widen(df.select(c(col)))
+    size = df.agg(F.sum(F.octet_length(c(col).cast("string")))).first()[0] or 0
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(size / PART_BYTES))
+    # A part's pairs are counted where its texts are, and only counts are dealt by phrase: no task holds more as texts grow.
+    texts = df.where(c(col).isNotNull()).select(c(col), F.pmod(F.monotonically_increasing_id(), F.lit(parts)).alias("_part")).repartitionByRange(parts, "_part")
     t = tokens(c(col))
     pairs = F.zip_with(t, F.slice(t, 2, F.greatest(F.size(t), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    one = df.where(c(col).isNotNull()).select(F.explode(pairs).alias("phrase")).where("phrase is not null")
-    counts = one.groupBy("phrase").agg(F.count("*").alias("count"))
+    one = texts.select("_part", F.explode(pairs).alias("phrase")).where("phrase is not null")
+    each = one.groupBy("_part", "phrase").agg(F.count("*").alias("count"))
+    counts = each.repartition(parts, "phrase").groupBy("phrase").agg(F.sum("count").alias("count"))
     return counts.orderBy(F.desc("count"), "phrase").limit(top).where("count > 1")
 
 

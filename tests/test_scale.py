@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Observation, functions as F
 
-from tabella.operators import models, prepare, standardize
+from tabella.operators import models, prepare, standardize, text
 from tabella.operators.sampling import ColumnShuffle, permuted
 from tabella.plans import flow, registry
 
@@ -116,3 +117,18 @@ def test_two_classes_stay_two_for_every_model(spark):
     df = spark.createDataFrame(pd.DataFrame({"kind": np.where(x[:, 0] > 0, "yes", "no"), "x": x[:, 0], "z": x[:, 1]}))
     got = models.compare_classifiers(df, "kind", ["x", "z"], trees=3, folds=2, only=["linear svm", "naive bayes", "neural network"]).collect()
     assert len(got) == 3 and all(r["accuracy"] > 0.8 and r["cv_accuracy"] > 0.8 for r in got)
+
+
+def test_phrases_are_counted_in_more_parts_as_texts_grow(spark, monkeypatch):
+    texts = ["green apple pie", "Green apple, apple pie", None, "", "pie"] * 300 + [f"rare{'abcdefghij'[i % 10]} word{'klmnopqrst'[i // 10]}" for i in range(100)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    want = [("apple pie", 600), ("green apple", 600), ("apple apple", 300)]
+    made = []
+    for size in (1 << 30, 300):
+        monkeypatch.setattr(text, "PART_BYTES", size)
+        got = text.phrase_counts(df, "t")
+        shown = got._jdf.queryExecution().executedPlan().toString()
+        made.append(max(int(n) for n in re.findall(r"hashpartitioning\(phrase#\d+, (\d+)\)", shown)))
+        assert shown.count("hashpartitioning") == shown.count("rangepartitioning") == 1  # counts by phrase, texts by part
+        assert [tuple(r) for r in got.collect()] == want
+    assert made[1] > 4 * made[0]
