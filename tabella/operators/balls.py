@@ -13,11 +13,11 @@ from tabella.functions.ordering import top_rows
 from tabella.session import stage
 
 #: Rows of a ball, about; a larger one is cut into cells of this size.
-BALL_ROWS = 4_000
+BALL_ROWS = 1_000
 #: Pivots at most; all of them, as points, are what tasks hold of the tree.
 MOST_PIVOTS = 65_536
 #: Distances held at once while a block of rows meets a cell.
-BLOCK = 4_000_000
+BLOCK = 250_000
 _SLACK = 1 + 1e-9
 
 

@@ -134,6 +134,15 @@ def test_nearest_rows_with_ties_copies_and_few_rows(spark, monkeypatch):
     assert nearest(spark, [], asked, 2, 5) == [] and nearest(spark, grid, [], 2, 5) == []
 
 
+def test_nearest_rows_meet_few_of_a_plain_table(spark):
+    rng = np.random.default_rng(8)
+    known = [(float(i), tuple(map(float, p))) for i, p in enumerate(rng.random((12_000, 2)))]
+    asked = [(i, tuple(map(float, p))) for i, p in enumerate(rng.random((60, 2)))]
+    seen = []
+    assert nearest(spark, known, asked, 2, 5, seen) == brute(known, asked, 5)
+    assert seen[0] < 0.35 * 12_000 * 60
+
+
 def test_importance_of_two_classes_uses_the_curve(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((600, 2))
